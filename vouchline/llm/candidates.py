@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 
-_words = re.compile(r"\w+(?:\.\d+)?").findall
+cut = re.compile(r"\w+(?:\.\d+)?").findall
 
 
 def as_object(raw: str | None) -> dict | None:
@@ -28,4 +28,4 @@ def folded(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return _words(folded(text))
+    return cut(folded(text))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchline.llm import components, mixing, neardup, splits, tokens
+from vouchline.llm import components, defects, mixing, neardup, splits, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _of(components.found, "duplicates"),
     "p4_found": _of(neardup.found, "candidates"),
     "p4_groups": _of(neardup.groups, "candidates"),
+    "p5_found": _of(defects.found, "candidates"),
     "p6_ids": _of(tokens.encoded, "documents"),
     "p7_found": _of(mixing.found, "documents", "mix_targets"),
     "p7_report": _of(lambda d, t: mixing.Mix(d, t).report(), "documents", "mix_targets"),
