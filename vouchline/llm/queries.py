@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchline.llm import components, defects, mixing, neardup, splits, tokens
+from vouchline.llm import components, defects, mixing, neardup, splits, stuffing, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": _of(neardup.groups, "candidates"),
     "p5_found": _of(defects.found, "candidates"),
     "p6_ids": _of(tokens.encoded, "documents"),
+    "p8_found": _of(stuffing.found, "documents"),
     "p7_found": _of(mixing.found, "documents", "mix_targets"),
     "p7_report": _of(lambda d, t: mixing.Mix(d, t).report(), "documents", "mix_targets"),
     "p7_mix": _of(lambda d, t: mixing.Mix(d, t).rows(), "documents", "mix_targets"),
