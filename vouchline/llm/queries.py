@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchline.llm import components, defects, mixing, neardup, splits, stuffing, tokens
+from vouchline.llm import components, defects, mixing, neardup, sampling, splits, stuffing, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _of(splits.found, "decisions", "former_labels"),
     "p1_splits": _of(splits.splits, "decisions", "former_labels"),
     "p2_found": _of(components.found, "duplicates"),
+    "p3_found": _of(sampling.found, "decisions", "sample_targets", "former_labels"),
+    "p3_report": _of(lambda d, t, f: sampling.Sample(d, t, f).report(), "decisions", "sample_targets", "former_labels"),
+    "p3_sample": _of(lambda d, t, f: sampling.Sample(d, t, f).rows(), "decisions", "sample_targets", "former_labels"),
     "p4_found": _of(neardup.found, "candidates"),
     "p4_groups": _of(neardup.groups, "candidates"),
     "p5_found": _of(defects.found, "candidates"),
@@ -52,6 +55,11 @@ def _label(text: str) -> str:
     return rf"regexp_replace({_plain(text)}, '[^\p{{L}}\p{{Nd}}]', '', 'g')"
 
 
+def _slug(text: str) -> str:
+    joined = rf"regexp_replace({_plain(text)}, '[^\p{{L}}\p{{Nd}}]+', '_', 'g')"
+    return f"nullif(regexp_replace({joined}, '^_+|_+$', '', 'g'), '')"
+
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         WITH RECURSIVE labels AS (
@@ -74,4 +82,19 @@ ORACLES: dict[str, str] = {
         edges AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
         reach(v, r) AS (SELECT a, a FROM edges UNION SELECT reach.v, edges.b FROM reach JOIN edges ON reach.r = edges.a)
         SELECT v AS record_id, min(r) AS group_id FROM reach GROUP BY v""",
+    "p3_found": f"""
+        WITH labels AS (
+            SELECT {_label("former_label")} AS label, min(as_number) AS was FROM former_labels GROUP BY 1),
+        facts AS (
+            SELECT candidate_id, coalesce({_number("standard")}, was) AS named,
+                CASE WHEN record IS NULL THEN 'malformed' ELSE {_slug("record.task_type")} END AS task,
+                [{_slug("x")} FOR x IN coalesce(reasons, [])] AS why
+            FROM decisions LEFT JOIN labels ON {_label("standard")} = label WHERE candidate_id IS NOT NULL),
+        sizes AS (
+            SELECT target_id, min_rows, target_share, sample_fraction, count(DISTINCT candidate_id) AS n
+            FROM sample_targets t LEFT JOIN facts ON (t.standard IS NULL OR named = t.standard)
+                AND (task_type IS NULL OR task = task_type) AND (reason IS NULL OR list_contains(why, reason))
+            GROUP BY ALL)
+        SELECT target_id FROM sizes
+        WHERE n < min_rows OR n < target_share * sample_fraction * (SELECT count(DISTINCT candidate_id) FROM decisions)""",
 }
