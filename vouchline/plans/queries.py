@@ -1,11 +1,303 @@
-"""The engine's own queries by name, with their DuckDB SQL."""
+"""The engine's own queries by name, with DuckDB SQL for those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from vouchline.functions import ident, text
+from vouchline.operators import audit, corpus, dedup, planning, report, validate
+from vouchline.sources import html
+from vouchline.sources.tables import table
 
 FLAGSHIP = "coverage_by_standard"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+TERM = "going-concern forecasts"
+ASKED = ["AS 2147", "as-1600", "AS3224", "9999", "no number", " 4558 ", "AS_2695"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _of(build: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, folder: build(*(table(spark, folder, n) for n in names))
+
+
+
+def _questions(candidates: DataFrame, kept: str = "id") -> DataFrame:
+    """(id, question) of the candidates with a sound schema."""
+    return validate.parsed(candidates).filter("schema_reason is null").select(kept, "question")
+
+
+def _coverage(standards: DataFrame, paragraphs: DataFrame, units: DataFrame, decisions: DataFrame) -> DataFrame:
+    rows = report.coverage(standards, paragraphs, units, report.decided(decisions))
+    return rows.select("standard", "accepted", *[F.round(c, 9).alias(c) for c in ("share", "source_word_share", "source_section_share")], "planned_units", "candidate_ceiling")
+
+
+def _concentration(standards: DataFrame, paragraphs: DataFrame, units: DataFrame, decisions: DataFrame) -> DataFrame:
+    one = report.concentration(report.coverage(standards, paragraphs, units, report.decided(decisions)))
+    return one.select(*[F.round(c, 9).alias(c) if c.endswith("share") else F.col(c) for c in one.columns])
+
+
+def _acceptance(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    one = report.acceptance(report.decided(decisions), candidates)
+    return one.withColumn("acceptance_rate", F.round("acceptance_rate", 9))
+
+
+def _evidence(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """build(citations, known) over the sound candidates' citations."""
+
+    def run(candidates: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+        return build(validate.cited(validate.parsed(candidates), units), validate.evidence(paragraphs))
+
+    return run
+
+
+def _reasons(candidates: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    rows = validate.evidence_reasons(validate.parsed(candidates), units, validate.evidence(paragraphs))
+    return rows.select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _focus(candidates: DataFrame, units: DataFrame) -> DataFrame:
+    sound = validate.parsed(candidates).filter("schema_reason is null").select("id", "unit_id", F.explode("paragraph_ids").alias("paragraph_id"))
+    focus = units.select(F.col("id").alias("unit_id"), F.explode("focus_ids").alias("paragraph_id"))
+    return sound.join(focus, ["unit_id", "paragraph_id"], "left_semi").select("id", "paragraph_id")
+
+
+def _first_valid(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Events are the candidates with a sound schema; an event is valid if its decision has no reason against it."""
+    said = decisions.select(F.col("candidate_id").alias("id"), F.col("record.id").alias("record_id"), F.coalesce(F.size("reasons"), F.lit(0)).alias("n"))
+    valid = said.groupBy("id").agg(F.max("record_id").alias("record_id"), (F.max("n") <= 0).alias("sound"))
+    events = _questions(candidates).join(valid, "id").select("id", text.folded(F.col("question")).alias("question_key"), (F.col("sound") & F.col("record_id").isNotNull()).alias("valid"), "record_id")
+    return dedup.first_valid(events).filter("duplicate_of is not null").select("id", "duplicate_of")
+
+
+def _occurrences(candidates: DataFrame) -> DataFrame:
+    items = candidates.select("id", F.col("generation_request").alias("request"), F.sha2("raw", 256).alias("content")).distinct().withColumn("pos", F.col("id"))
+    return dedup.occurrences(items).select("id", "request", F.col("occurrence").cast("int").alias("occurrence"))
+
+
+def _tokens(candidates: DataFrame) -> DataFrame:
+    sets = dedup.token_sets(_questions(candidates), text.folded(F.col("question")))
+    return sets.select(F.explode("uni").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("questions"))
+
+
+def _near(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Near pairs among the questions of accepted records, by record id."""
+    rows = report.decided(decisions).filter("status = 'accepted' and record_id is not null").select(F.col("candidate_id").alias("id"), "record_id")
+    questions = _questions(candidates).join(rows, "id").select(F.col("record_id").alias("id"), "question").dropDuplicates(["id"])
+    return dedup.near_pairs(dedup.token_sets(questions, text.folded(F.col("question"))))
+
+
+def _resolved(duplicates: DataFrame) -> DataFrame:
+    plain = lambda c: F.lower(F.trim(c))
+    return dedup.resolved(duplicates.select(plain("left").alias("left"), plain("right").alias("right"), plain("result").alias("result")).filter("left is not null and right is not null"))
+
+
+def _units(paragraphs: DataFrame) -> DataFrame:
+    rows = planning.units(paragraphs)
+    return rows.select("section_id", "standard", F.array_join("focus_ids", ",").alias("focus_ids"), "words", "candidate_limit", "features.length", "features.standard_quartile", "features.multi_paragraph", "features.cross_references")
+
+
+def _pilot(units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    ranks = planning.quartiles(corpus.standard_words(paragraphs)).select("standard", "quartile")
+    return planning.pilot(units.select("id", "standard", F.col("id").alias("position")).join(ranks, "standard").select("id", "quartile", "position"), 24)
+
+
+def _nested(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda standards, paragraphs: build(corpus.nested(standards, paragraphs))
+
+
+def _html(standards: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Pages rendered from the tables, parsed again and flattened."""
+    read = html.parse_pages(html.render_pages(standards, paragraphs)).filter("ok")
+    return corpus.flattened(read).select("as_number", F.col("heading").alias("section_id"), "number", "text")
+
+
+def _numbers(decisions: DataFrame) -> DataFrame:
+    spelled = decisions.select("standard").distinct().withColumn("as_number", text.as_number(F.col("standard")))
+    return spelled.select(F.col("standard").alias("spelled"), "as_number", text.slug(F.col("as_number")).alias("slug"), F.when(F.col("as_number").isNotNull(), text.series(F.col("as_number"))).alias("series"))
+
+
+def _review(decisions: DataFrame, candidates: DataFrame, units: DataFrame, standards: DataFrame) -> DataFrame:
+    rows = report.decided(decisions)
+    return report.review_rows(report.review_sample(rows), rows, candidates, units, standards)
+
+
+def _cited_standards(candidates: DataFrame) -> DataFrame:
+    said = validate.parsed(candidates).filter("schema_reason is null").select("id", F.concat_ws(" ", "question", "answer").alias("said"))
+    return said.select("id", F.explode(text.standards_cited(F.col("said"))).alias("cited"))
+
+
+QUERIES: dict[str, Query] = {
+    "coverage_by_standard": _of(_coverage, "standards", "paragraphs", "units", "decisions"),
+    "paragraphs_flattened": _of(_nested(corpus.flattened), "standards", "paragraphs"),
+    "paragraph_counts": _of(corpus.paragraph_counts, "paragraphs"),
+    "word_counts": _of(corpus.standard_words, "paragraphs"),
+    "blank_paragraph_issues": _of(corpus.blank_issues, "paragraphs"),
+    "source_fingerprint": _of(ident.corpus_fingerprint, "standards"),
+    "manifest_rows": _of(corpus.manifest_rows, "standards", "paragraphs"),
+    "corpus_violations": _of(corpus.violations, "standards", "paragraphs"),
+    "text_rendering": _of(_nested(corpus.rendered), "standards", "paragraphs"),
+    "search_substring": _of(lambda p: corpus.search(p, TERM), "paragraphs"),
+    "series_list_order": _of(corpus.listed, "standards"),
+    "point_lookup": _of(lambda s: corpus.lookup(s, ASKED), "standards"),
+    "normalised_numbers": _of(_numbers, "decisions"),
+    "size_quartiles": _of(lambda p: planning.quartiles(corpus.standard_words(p)), "paragraphs"),
+    "unit_features": _of(_units, "paragraphs"),
+    "units_greedy_order": _of(lambda p: planning.ordered(planning.units(p)), "paragraphs"),
+    "pilot_round_robin": _of(_pilot, "units", "paragraphs"),
+    "unit_contexts": _of(lambda u, p: planning.contexts(u, p).select("id", "standard", "section_id", F.array_join("paragraph_ids", ",").alias("paragraph_ids")), "units", "paragraphs"),
+    "fixture_responses": _of(planning.fixture_responses, "units", "paragraphs"),
+    "candidate_schema_reasons": _of(lambda c: validate.parsed(c).groupBy("schema_reason").agg(F.count(F.lit(1)).alias("candidates")), "candidates"),
+    "evidence_reasons": _of(_reasons, "candidates", "units", "paragraphs"),
+    "evidence_unresolved": _of(_evidence(validate.unresolved), "candidates", "units", "paragraphs"),
+    "support_ordered": _of(_evidence(lambda c, k: validate.support(c, k).select("id", F.array_join(F.transform("support", lambda s: s["citation"]), ";").alias("support"))), "candidates", "units", "paragraphs"),
+    "focus_overlap": _of(_focus, "candidates", "units"),
+    "standards_cited": _of(_cited_standards, "candidates"),
+    "complexity": _of(lambda c: validate.complexity(validate.parsed(c)).select("id", "complexity.*"), "candidates"),
+    "exact_dup_first_valid": _of(_first_valid, "candidates", "decisions"),
+    "occurrence_number": _of(_occurrences, "candidates"),
+    "unigram_tokens": _of(_tokens, "candidates"),
+    "near_pairs": _of(_near, "candidates", "decisions"),
+    "near_resolve": _of(_resolved, "duplicates"),
+    "acceptance_summary": _of(_acceptance, "decisions", "candidates"),
+    "accepted_by_standard": _of(lambda d: report.accepted_by(report.decided(d), "standard"), "decisions"),
+    "accepted_by_section": _of(lambda p, d: report.section_coverage(p, report.decided(d)), "paragraphs", "decisions"),
+    "accepted_by_task_type": _of(lambda d: report.accepted_by(report.decided(d), "task_type"), "decisions"),
+    "rejection_reasons": _of(lambda d: report.rejection_reasons(report.decided(d)), "decisions"),
+    "planned_by_standard": _of(report.planned, "units"),
+    "zero_coverage": _of(lambda s, d: report.uncovered(s, report.decided(d)), "standards", "decisions"),
+    "top5_concentration": _of(_concentration, "standards", "paragraphs", "units", "decisions"),
+    "unit_outcomes": _of(lambda u, c, d: report.unit_outcomes(u, c, report.decided(d)), "units", "candidates", "decisions"),
+    "status_counts": _of(lambda d: report.statuses(report.decided(d)), "decisions"),
+    "review_sample": _of(lambda d: report.review_sample(report.decided(d)), "decisions"),
+    "review_rows": _of(_review, "decisions", "candidates", "units", "standards"),
+    "inventory_diff": _of(lambda u, d: corpus.inventory(u.select(F.col("standard").alias("as_number")), report.decided(d).filter("standard is not null").select(F.col("standard").alias("as_number"))), "units", "decisions"),
+    "uniqueness_violations": _of(lambda c: audit.repeated(c, "id"), "candidates"),
+    "decision_bijection": _of(audit.unmatched, "candidates", "decisions"),
+    "findings_union": _of(audit.findings, "candidates", "decisions", "units", "duplicates"),
+    "html_round_trip": _of(_html, "standards", "paragraphs"),
+    "nfkc_normalize": _of(lambda c: _questions(c).select("id", text.folded(F.col("question")).alias("question_key")), "candidates"),
+    "canonical_digest": _of(lambda c: c.select("id", F.sha2(ident.canonical(F.col("raw")), 256).alias("digest")).distinct(), "candidates"),
+}
+
+# What several statements below share.
+_SPACE = r"[^\s\x1c-\x1f\p{Z}\x{85}]+"
+_NUMBER = r"'AS ' || nullif(regexp_extract(standard, '(?i)^[\s\x1c-\x1f\p{Z}\x{85}]*(?:as[\s\x1c-\x1f\p{Z}\x{85}\-_]*)?(\d{4})[\s\x1c-\x1f\p{Z}\x{85}]*$', 1), '')"
+_DECIDED = f"""decided AS (
+    SELECT candidate_id, any_value(unit_id) AS unit_id, any_value({_NUMBER}) AS standard, any_value(section_id) AS section_id,
+        any_value(lower(trim(status))) AS status, any_value(coalesce(record.task_type, 'malformed')) AS task_type,
+        any_value(coalesce(reasons, [])) AS reasons
+    FROM decisions WHERE candidate_id IS NOT NULL GROUP BY candidate_id)"""
+_WORDS = f"len(regexp_extract_all(text, '{_SPACE}'))"
+_SERIES = "CASE substr({0}, 4, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.SERIES.items()) + f" ELSE '{text.OTHER_SERIES}' END"
+_COVERAGE = f"""{_DECIDED},
+    source AS (SELECT standard, sum({_WORDS}) AS words, count(DISTINCT section_id) AS sections FROM paragraphs GROUP BY 1),
+    acc AS (SELECT standard, count(*) AS accepted FROM decided WHERE status = 'accepted' GROUP BY 1),
+    plan AS (SELECT standard, count(*) AS planned_units, sum(candidate_limit) AS candidate_ceiling FROM units GROUP BY 1),
+    filled AS (SELECT as_number AS standard, coalesce(accepted, 0)::BIGINT AS accepted, coalesce(words, 0)::BIGINT AS words, coalesce(sections, 0)::BIGINT AS sections,
+        coalesce(planned_units, 0)::BIGINT AS planned_units, coalesce(candidate_ceiling, 0)::BIGINT AS candidate_ceiling
+        FROM standards LEFT JOIN source ON source.standard = as_number LEFT JOIN acc ON acc.standard = as_number LEFT JOIN plan ON plan.standard = as_number),
+    covered AS (SELECT standard, accepted, coalesce(accepted / nullif(sum(accepted) OVER (), 0), 0) AS share,
+        coalesce(words / nullif(sum(words) OVER (), 0), 0) AS source_word_share, coalesce(sections / nullif(sum(sections) OVER (), 0), 0) AS source_section_share,
+        planned_units, candidate_ceiling FROM filled)"""
+_FLAT = """sections AS (SELECT standard, section_id, min(number) AS first FROM paragraphs GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY standard ORDER BY first, section_id) - 1 AS section_pos FROM sections)"""
+# The sound candidates as DuckDB reads JSON; what Python's reader and DuckDB's take for JSON agrees on these tables.
+_TASKS = ", ".join(f"'{t}'" for t in validate.TASK_TYPES)
+_SOUND = rf"""objects AS (
+    SELECT DISTINCT id, unit_id, TRY_CAST(raw AS JSON) AS j FROM candidates WHERE json_valid(raw)),
+    typed AS (SELECT *, j->>'question' AS question, j->>'answer' AS answer, j->>'task_type' AS task_type FROM objects
+        WHERE json_type(j) = 'OBJECT' AND len(list_filter(json_keys(j), lambda k: k NOT IN ('question', 'answer', 'task_type', 'paragraph_ids', 'footnote_ids', 'reasoning_tags'))) = 0
+        AND json_type(j->'question') = 'VARCHAR' AND json_type(j->'answer') = 'VARCHAR' AND json_type(j->'task_type') = 'VARCHAR' AND json_type(j->'paragraph_ids') = 'ARRAY'
+        AND coalesce(json_type(j->'footnote_ids'), 'ARRAY') = 'ARRAY' AND coalesce(json_type(j->'reasoning_tags'), 'ARRAY') = 'ARRAY'),
+    lists AS (SELECT id, unit_id, question, answer, task_type, CAST(j->'paragraph_ids' AS VARCHAR[]) AS paragraph_ids,
+        coalesce(TRY_CAST(j->'footnote_ids' AS VARCHAR[]), []) AS footnote_ids, coalesce(TRY_CAST(j->'reasoning_tags' AS VARCHAR[]), []) AS tags FROM typed),
+    sound AS (SELECT * FROM lists WHERE regexp_matches(question, '[^\s\x1c-\x1f\p{{Z}}\x{{85}}]') AND regexp_matches(answer, '[^\s\x1c-\x1f\p{{Z}}\x{{85}}]')
+        AND NOT regexp_matches(question || answer, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AND task_type IN ({_TASKS})
+        AND len(paragraph_ids) > 0 AND len(list_distinct(paragraph_ids)) = len(paragraph_ids) AND NOT list_contains(paragraph_ids, '')
+        AND len(list_distinct(footnote_ids)) = len(footnote_ids) AND NOT list_contains(footnote_ids, '')
+        AND len(list_distinct(tags)) = len(tags) AND len(list_filter(tags, lambda t: t NOT IN ({_TASKS}))) = 0)"""
+_CITED = f"""{_SOUND},
+    own AS (SELECT sound.id, units.standard AS own, paragraph_ids, footnote_ids FROM sound JOIN units ON units.id = unit_id),
+    cited AS (SELECT id, own, 'paragraph' AS kind, unnest(paragraph_ids) AS evidence_id, generate_subscripts(paragraph_ids, 1) - 1 AS pos FROM own
+        UNION ALL SELECT id, own, 'footnote', unnest(footnote_ids), generate_subscripts(footnote_ids, 1) - 1 FROM own)"""
+
+ORACLES: dict[str, str] = {
+    "coverage_by_standard": f"WITH {_COVERAGE} SELECT standard, accepted, round(share, 9) AS share, round(source_word_share, 9) AS source_word_share, round(source_section_share, 9) AS source_section_share, planned_units, candidate_ceiling FROM covered",
+    "paragraphs_flattened": f"""WITH {_FLAT} SELECT p.standard AS as_number, section_pos::INT AS section_pos, p.section_id AS heading,
+        (row_number() OVER (PARTITION BY p.standard, p.section_id ORDER BY number, text) - 1)::INT AS paragraph_pos, number, text
+        FROM paragraphs p JOIN placed ON placed.standard = p.standard AND placed.section_id = p.section_id JOIN standards ON as_number = p.standard""",
+    "paragraph_counts": "SELECT standard, count(*) AS paragraphs, count(DISTINCT section_id) AS sections FROM paragraphs GROUP BY 1",
+    "word_counts": f"SELECT standard, sum({_WORDS})::BIGINT AS words FROM paragraphs GROUP BY 1",
+    "blank_paragraph_issues": f"SELECT standard, id AS paragraph_id, 'empty_source_text' AS reason FROM paragraphs WHERE text IS NULL OR NOT regexp_matches(text, '{_SPACE}')",
+    "source_fingerprint": r"SELECT 'sha256:' || sha256(string_agg(as_number || ' ' || source_sha256 || chr(10), '' ORDER BY as_number)) AS fingerprint FROM standards",
+    "manifest_rows": f"""SELECT as_number, title, {_SERIES.format("as_number")} AS series, url, source_sha256 AS sha256, count(DISTINCT section_id) AS sections, count(p.id) AS paragraphs
+        FROM standards s LEFT JOIN paragraphs p ON p.standard = as_number GROUP BY ALL""",
+    "corpus_violations": r"""WITH n AS (SELECT as_number, any_value(paragraphs) AS said, count(p.id) AS held FROM standards LEFT JOIN paragraphs p ON p.standard = as_number GROUP BY 1)
+        SELECT 'duplicate_manifest_entry' AS code, as_number FROM standards GROUP BY 2 HAVING count(*) > 1
+        UNION SELECT 'paragraph_count', as_number FROM n WHERE said <> held
+        UNION SELECT 'paragraph_label', standard FROM paragraphs WHERE NOT coalesce(regexp_full_match(number, '\.(?:\d{2}[A-Z]?|[A-Z]\d+)'), false)
+        UNION SELECT 'ambiguous_paragraph', standard FROM (SELECT standard, number FROM paragraphs GROUP BY ALL HAVING count(*) > 1)
+        UNION SELECT 'paragraph_identity', standard FROM paragraphs WHERE id <> replace(standard, ' ', '') || number
+        UNION SELECT 'inventory', coalesce(as_number, standard) FROM (SELECT DISTINCT as_number FROM standards) FULL JOIN (SELECT DISTINCT standard FROM paragraphs) ON as_number = standard WHERE as_number IS NULL OR standard IS NULL""",
+    "text_rendering": f"""WITH {_FLAT}, parts AS (
+            SELECT p.standard, section_pos, p.section_id || chr(10) || chr(10) || string_agg(number || '  ' || text, chr(10) || chr(10) ORDER BY number, text) AS part
+            FROM paragraphs p JOIN placed ON placed.standard = p.standard AND placed.section_id = p.section_id GROUP BY p.standard, section_pos, p.section_id),
+        bodies AS (SELECT standard, string_agg(part, chr(10) || chr(10) ORDER BY section_pos) AS body FROM parts GROUP BY 1)
+        SELECT as_number, regexp_replace(as_number || ': ' || title || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || chr(10) || chr(10) || coalesce(body, ''), '[\\s\\x1c-\\x1f\\p{{Z}}\\x{{85}}]+$', '') || chr(10) AS text
+        FROM standards LEFT JOIN bodies ON standard = as_number""".replace("\\\\", "\\"),
+    "search_substring": f"""WITH hits AS (SELECT standard AS as_number, number AS paragraph, text, greatest(0, strpos(lower(text), lower('{TERM}')) - 1 - 46) AS start FROM paragraphs WHERE contains(lower(text), lower('{TERM}')))
+        SELECT as_number, paragraph, text, CASE WHEN length(text) <= 140 THEN text ELSE (CASE WHEN start > 0 THEN '...' ELSE '' END) || trim(substr(text, start + 1, 140)) || '...' END AS excerpt FROM hits""",
+    "series_list_order": f"""SELECT as_number, title, {_SERIES.format("as_number")} AS series,
+        row_number() OVER (ORDER BY coalesce(list_position(['1', '2', '3', '4', '6'], substr(as_number, 4, 1)), 6), as_number)::INT AS position FROM standards""",
+    "point_lookup": "WITH asked AS (SELECT unnest([{0}]) AS standard), numbered AS (SELECT standard AS asked, {1} AS as_number FROM asked) SELECT asked, numbered.as_number, title FROM numbered LEFT JOIN standards USING (as_number)".format(", ".join(f"'{a}'" for a in ASKED), _NUMBER),
+    "normalised_numbers": f"""WITH spelled AS (SELECT DISTINCT standard FROM decisions), numbered AS (SELECT standard AS spelled, {_NUMBER} AS as_number FROM spelled)
+        SELECT spelled, as_number, replace(as_number, ' ', '') AS slug, CASE WHEN as_number IS NOT NULL THEN {_SERIES.format("as_number")} END AS series FROM numbered""",
+    "size_quartiles": f"""WITH w AS (SELECT standard, sum({_WORDS})::BIGINT AS words FROM paragraphs GROUP BY 1)
+        SELECT standard, words, least(3, floor((row_number() OVER (ORDER BY words, standard) - 1) * 4 / count(*) OVER ()))::INT AS quartile FROM w""",
+    "unit_features": rf"""WITH w AS (SELECT standard, sum({_WORDS}) AS words FROM paragraphs GROUP BY 1),
+        q AS (SELECT standard, least(3, floor((row_number() OVER (ORDER BY words, standard) - 1) * 4 / count(*) OVER ()))::INT AS standard_quartile FROM w),
+        s AS (SELECT section_id, standard, string_agg(id, ',' ORDER BY number, id) FILTER (regexp_matches(text, '{_SPACE}')) AS focus_ids, sum({_WORDS})::INT AS words,
+            string_agg(text, ' ' ORDER BY number, id) AS whole, count(*) AS n FROM paragraphs GROUP BY section_id, standard)
+        SELECT section_id, standard, focus_ids, words, least(8, greatest(2, ceil(words / 150)))::INT AS candidate_limit,
+            CASE WHEN words < 194 THEN 'short' WHEN words <= 733 THEN 'medium' ELSE 'long' END AS length, standard_quartile, n > 1 AS multi_paragraph,
+            regexp_matches(whole, '(?i)\bAS\s*\d{{4}}|\bparagraphs?\b') AS cross_references FROM s JOIN q USING (standard) WHERE focus_ids IS NOT NULL""",
+    "pilot_round_robin": f"""WITH w AS (SELECT standard, sum({_WORDS}) AS words FROM paragraphs GROUP BY 1),
+        q AS (SELECT standard, least(3, floor((row_number() OVER (ORDER BY words, standard) - 1) * 4 / count(*) OVER ()))::INT AS quartile FROM w),
+        t AS (SELECT id, quartile, row_number() OVER (PARTITION BY quartile ORDER BY id) AS turn FROM units JOIN q USING (standard))
+        SELECT id, quartile, row_number() OVER (ORDER BY turn, quartile)::INT AS place FROM t ORDER BY turn, quartile LIMIT 24""",
+    "unit_contexts": "SELECT u.id, u.standard, u.section_id, string_agg(p.id, ',' ORDER BY p.id) AS paragraph_ids FROM units u JOIN paragraphs p ON p.standard = u.standard GROUP BY ALL",
+    "fixture_responses": "SELECT u.id AS unit_id, 'What does ' || citation || ' state?' AS question, p.text AS answer, 'direct_requirement' AS task_type, p.id AS paragraph_id FROM units u JOIN paragraphs p ON p.id = focus_ids[1]",
+    "evidence_unresolved": f"WITH {_CITED} SELECT own, kind, evidence_id, id, pos::INT AS pos FROM cited WHERE NOT EXISTS (SELECT 1 FROM paragraphs p WHERE p.standard = own AND p.id = evidence_id AND kind = 'paragraph')",
+    "support_ordered": f"WITH {_CITED} SELECT cited.id, string_agg(citation, ';' ORDER BY pos) AS support FROM cited JOIN paragraphs p ON p.standard = own AND p.id = evidence_id AND kind = 'paragraph' GROUP BY 1",
+    "focus_overlap": f"WITH {_SOUND}, each AS (SELECT id, unit_id, unnest(paragraph_ids) AS paragraph_id FROM sound) SELECT each.id, paragraph_id FROM each SEMI JOIN (SELECT id AS unit_id, unnest(focus_ids) AS paragraph_id FROM units) USING (unit_id, paragraph_id)",
+    "standards_cited": rf"WITH {_SOUND} SELECT DISTINCT id, 'AS ' || unnest(regexp_extract_all(question || ' ' || answer, '(?i)\bAS\s*(\d{{4}})', 1)) AS cited FROM sound",
+    "complexity": f"WITH {_SOUND} SELECT id, len(paragraph_ids)::INT AS supporting_paragraphs, task_type IN ('scenario', 'application') AS scenario, len(paragraph_ids) > 1 AS synthesis FROM sound",
+    "occurrence_number": "SELECT id, request, (row_number() OVER (PARTITION BY request, raw ORDER BY id) - 1)::INT AS occurrence FROM (SELECT DISTINCT id, generation_request AS request, raw FROM candidates)",
+    "acceptance_summary": f"""WITH {_DECIDED}, c AS (SELECT count(DISTINCT id) AS n FROM candidates)
+        SELECT any_value(n) AS raw_candidates, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, any_value(n) - count(*) AS pending,
+            round(coalesce(count(*) FILTER (status = 'accepted') / nullif(any_value(n), 0), 0), 9) AS acceptance_rate FROM decided, c""",
+    "accepted_by_standard": f"WITH {_DECIDED} SELECT standard, count(*) AS accepted FROM decided WHERE status = 'accepted' GROUP BY 1",
+    "accepted_by_section": f"WITH {_DECIDED}, a AS (SELECT section_id, count(*) AS accepted FROM decided WHERE status = 'accepted' GROUP BY 1) SELECT standard, section_id, coalesce(accepted, 0) AS accepted FROM (SELECT DISTINCT standard, section_id FROM paragraphs) LEFT JOIN a USING (section_id)",
+    "accepted_by_task_type": f"WITH {_DECIDED} SELECT task_type, count(*) AS accepted FROM decided WHERE status = 'accepted' GROUP BY 1",
+    "rejection_reasons": f"WITH {_DECIDED}, r AS (SELECT unnest(reasons) AS reason FROM decided WHERE status = 'rejected') SELECT reason, count(*) AS rejections FROM r GROUP BY 1",
+    "planned_by_standard": "SELECT standard, count(*) AS planned_units, sum(candidate_limit)::BIGINT AS candidate_ceiling FROM units GROUP BY 1",
+    "zero_coverage": f"WITH {_DECIDED} SELECT as_number AS standard FROM standards WHERE as_number NOT IN (SELECT standard FROM decided WHERE status = 'accepted' AND standard IS NOT NULL)",
+    "top5_concentration": f"""WITH {_COVERAGE}, ranked AS (SELECT *, row_number() OVER (ORDER BY accepted DESC, standard) AS rank FROM covered),
+        s AS (SELECT sum(accepted) AS n, max(share) FILTER (rank = 1) AS largest, max(source_word_share) FILTER (rank = 1) AS words, sum(share) AS five, sum(source_word_share) AS five_words, sum(source_section_share) AS five_sections FROM ranked WHERE rank <= 5)
+        SELECT round(largest, 9) AS largest_standard_share, round(five, 9) AS top_five_share, round(five_words, 9) AS top_five_source_word_share, round(five_sections, 9) AS top_five_source_section_share,
+            n > 0 AND (largest > greatest(0.1, 2 * words) OR five > 0.5) AS concentration_flag FROM s""",
+    "unit_outcomes": f"""WITH {_DECIDED}, per AS (SELECT unit_id, bool_or(status = 'accepted') AS a, bool_or(status = 'rejected') AS r FROM decided GROUP BY 1)
+        SELECT id AS unit_id, CASE WHEN a THEN 'accepted' WHEN r THEN 'rejection' WHEN id IN (SELECT unit_id FROM candidates WHERE unit_id IS NOT NULL) THEN 'pending' ELSE 'unattempted' END AS outcome
+        FROM units LEFT JOIN per ON per.unit_id = id""",
+    "status_counts": f"WITH {_DECIDED} SELECT status, count(*) AS decisions, count(DISTINCT task_type) AS task_types FROM decided GROUP BY 1",
+    "inventory_diff": f"""WITH {_DECIDED}, d AS (SELECT DISTINCT standard FROM decided WHERE standard IS NOT NULL), u AS (SELECT DISTINCT standard FROM units)
+        SELECT coalesce(u.standard, d.standard) AS as_number, CASE WHEN u.standard IS NULL THEN 'manifest' ELSE 'files' END AS missing_from FROM u FULL JOIN d ON u.standard = d.standard WHERE u.standard IS NULL OR d.standard IS NULL""",
+    "uniqueness_violations": "SELECT id AS key, count(*) AS n FROM candidates GROUP BY 1 HAVING count(*) > 1",
+    "decision_bijection": """WITH c AS (SELECT DISTINCT id FROM candidates), d AS (SELECT DISTINCT candidate_id FROM decisions)
+        SELECT coalesce(candidate_id, id) AS candidate_id, CASE WHEN id IS NULL THEN 'candidate' ELSE 'decision' END AS missing FROM c FULL JOIN d ON id = candidate_id WHERE id IS NULL OR candidate_id IS NULL""",
+    "html_round_trip": rf"""SELECT standard AS as_number, section_id, number, regexp_replace(trim(regexp_replace(text, '[\s\x1c-\x1f\p{{Z}}\x{{85}}]+', ' ', 'g')), ' +([.,;:])( |$)', '\1\2', 'g') AS text FROM paragraphs""",
+}
