@@ -43,6 +43,11 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else folded_text(x))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def as_number(text: Column) -> Column:
     """'AS 2301' for 'as-2301', 'AS2301' or '2301'; null for anything else."""
     digits = F.regexp_extract(text, rf"(?i)^[{SPACE}]*(?:as[{SPACE}\-_]*)?(\d{{4}})[{SPACE}]*$", 1)
@@ -102,7 +107,7 @@ def refers_across(text: Column) -> Column:
 def excerpt(text: Column, term: Column, width: int = 140, before: int = 46) -> Column:
     """A window of ``width`` around the first hit; dots where text is left out. Longer texts always end in dots."""
     start = F.greatest(F.lit(0), F.instr(F.lower(text), F.lower(term)) - 1 - before)
-    window = F.regexp_replace(F.substring(text, start + 1, F.lit(width)), rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    window = trimmed(F.substring(text, start + 1, F.lit(width)))
     return F.when(F.length(text) <= width, text).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), window, F.lit("...")))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchline.functions.text import as_number
+from vouchline.functions.text import as_number, trimmed
 from vouchline.operators.validate import forbidden_keys
 
 
@@ -30,7 +30,7 @@ def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, dupl
     accepted = once.filter(F.lower(F.trim("status")) == "accepted")
     known = units.select(F.col("id").alias("unit_id"), F.col("standard").alias("unit_standard"), F.col("document_id").alias("unit_document"))
     placed = accepted.join(known, "unit_id", "left")
-    members = duplicates.select(F.lower(F.trim("left")).alias("id")).unionByName(duplicates.select(F.lower(F.trim("right")).alias("id"))).distinct()
+    members = duplicates.select(F.lower(trimmed(F.col("left"))).alias("id")).unionByName(duplicates.select(F.lower(trimmed(F.col("right"))).alias("id"))).distinct()
     checks = {
         "invalid_decision": once.filter(~F.coalesce(F.lower(F.trim("status")).isin("accepted", "rejected"), F.lit(False))).select("candidate_id"),
         "duplicate_accepted_ids": repeated(accepted.select("record_id", "candidate_id").distinct(), "record_id").select("key"),

@@ -186,6 +186,8 @@ def parse_page(html: str) -> dict:
 def parse_pages(pages: DataFrame) -> DataFrame:
     """pages(url, html) -> a row a page; pages that are no standard have ok false and the reason as error."""
 
+    names = ["url", "ok", "error", "as_number", "title", "notes", "sections", "footnotes"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -193,8 +195,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 try:
                     rows.append({"url": url, "ok": True, "error": None, **parse_page(html or "")})
                 except NotAStandard as why:
-                    rows.append({"url": url, "ok": False, "error": str(why)})
-            yield pd.DataFrame(rows, columns=["url", "ok", "error", "as_number", "title", "notes", "sections", "footnotes"])
+                    rows.append(dict.fromkeys(names) | {"url": url, "ok": False, "error": str(why)})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
