@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from math import ceil, floor
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +38,58 @@ SHARE = Fraction(7, 10)
 RARE = 512
 #: Buckets of word counts, and bits of the filter of uncommon splits: 2 MB a bitmap, whatever the data.
 BUCKETS = 1 << 24
+#: Numbers of rare words and of blocks are exact up to here and in steps of a tenth beyond; only long sets come so far.
+EXACT = 40
 #: Word hashes that a worker keeps.
 CACHE = 500_000
 
 
 def most_differing(total: int, share: Fraction = SHARE) -> int:
     """The largest Hamming distance of two sets of together ``total`` members that have ``share`` in common; below 0: none."""
-    return total - 2 * ceil(share * total / (1 + share))
+    top, bottom = share.numerator, share.numerator + share.denominator
+    return total + 2 * (-top * total // bottom)
+
+
+def _steps() -> np.ndarray:
+    """0, 1, ... EXACT and then numbers a tenth apart."""
+    out = list(range(EXACT + 1))
+    while out[-1] < 1 << 40:
+        out.append(out[-1] + out[-1] // 10)
+    return np.array(out, np.int64)
+
+
+STEPS = _steps()
+
+
+def step_down(n: int) -> int:
+    """n itself when small, else the start of the step that it lies in: long sets share their splits."""
+    return int(STEPS[np.searchsorted(STEPS, n, "right") - 1])
 
 
 @lru_cache(maxsize=200_000)
 def splits_of(size: int, rare: int, share: Fraction = SHARE) -> tuple[tuple[int, int, bool], ...]:
-    """For a set of ``size`` words, ``rare`` of them rare: (r' of a partner, blocks, whether the partner or this is poor)
-    for every partner that may agree in no rare word. A set is poor when it has far fewer rare words than half of k, so
-    that many splits concern it."""
-    rest, out = size - rare, {}
-    for other in range(0, most_differing(size + floor(size / share), share) - rare + 1):
-        most = ceil(rest / share) + size
-        for f in range(max(0, rest - size), most + 1):
-            partner = f + other
-            if partner == 0 or partner < share * size or size < share * partner:
-                continue
-            q = most_differing(size + partner, share) - rare - other
-            if q >= 0 and abs(f - rest) <= q:
-                out[other, q + 1] = out.get((other, q + 1), False) or poor(partner, other, share)
-    mine = poor(size, rare, share)
-    return tuple((other, n, mine or flag) for (other, n), flag in sorted(out.items()))
+    """For a set of ``size`` words, of which ``rare`` are rare: (r' of a partner, blocks, whether every such partner is
+    poor) for the partners that may agree with it in no rare word. A set is poor when it has far fewer rare words than
+    half of k, so that many splits concern it. r and r' are taken down to a step, which allows more differences and so
+    loses no pair; the number of blocks is taken up to a step, which leaves more of them equal."""
+    top, bottom = share.numerator, share.numerator + share.denominator
+    rest, least = size - rare, step_down(rare)
+    out: dict[tuple[int, int], bool] = {}
+    for other, after in zip(STEPS[:-1].tolist(), STEPS[1:].tolist(), strict=True):
+        reach = most_differing(size + floor(size / share), share) + 1 - least - other
+        if reach < 0:
+            break
+        f = np.arange(max(0, rest - reach), rest + reach + 1)[:, None]
+        partner = f + np.arange(other, after)[None, :]
+        q = size + partner + 2 * (-top * (size + partner) // bottom) - least - other
+        fits = (partner > 0) & (partner * share.denominator >= share.numerator * size) & (size * share.denominator >= share.numerator * partner) & (q >= abs(f - rest))
+        if not fits.any():
+            continue
+        is_poor = 2 * (partner - f) < 2 * partner + 2 * (-top * 2 * partner // bottom) - 2
+        blocks = STEPS[np.searchsorted(STEPS, q[fits] + 1)]
+        for n in np.unique(blocks).tolist():
+            out[other, n] = bool(is_poor[fits][blocks == n].all())
+    return tuple((other, n, flag) for (other, n), flag in sorted(out.items()))
 
 
 def poor(size: int, rare: int, share: Fraction = SHARE) -> bool:
@@ -186,7 +212,7 @@ class Blocks:
 
     def several(self, filtered: np.ndarray | None, only_poor: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, keys and sides of the blocks of the other words. ``filtered``: the bitmap of keys of poor sets, outside
-        which a set that isn't poor needs no block for a split with a poor one."""
+        which a set that isn't poor needs no block for a split that only poor ones share."""
         rows, keys, sides = [], [], []
         plans: dict[tuple[int, int, int, bool], list[int]] = {}
         profile = self.size * (1 << 20) + self.rare
@@ -197,7 +223,7 @@ class Blocks:
                 continue
             members = np.flatnonzero(profile == code)
             for other, n, flag in splits_of(size, rare, self.share):
-                plans.setdefault((rare, other, n, flag and not mine), []).append(members)
+                plans.setdefault((step_down(rare), other, n, flag and not mine), []).append(members)
         sums: dict[int, np.ndarray] = {}
         where = self.row[self.is_common]
         content = _mixed(self.words[self.is_common] + _salt(2))
