@@ -32,7 +32,7 @@ def filled(targets: dict[str, tuple[float, int]], tokens_of: dict[str, int], tot
     """Tokens that each source gives: shares of ``total``, no source beyond its repeats; what the capped ones leave
     over goes to the others in proportion to their shares, as far as their own caps allow."""
     caps = {s: max(0, repeats) * tokens_of.get(s, 0) for s, (_, repeats) in targets.items()}
-    shares = {s: Fraction(share) for s, (share, _) in targets.items() if share > 0}
+    shares = {s: Fraction(str(share)) for s, (share, _) in targets.items() if share > 0}
     given, open_, rest = dict.fromkeys(targets, 0), set(shares), total
     while open_ and rest > 0:
         weight = sum(shares[s] for s in open_)
