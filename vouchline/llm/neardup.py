@@ -296,18 +296,22 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
 def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFrame:
     """sets(cid, words), one row a set -> (a, b, common): all pairs of sets with at least ``share`` in common, a < b."""
     rows = staging.put(blocks(sets, share))
-    left = rows.filter("side <> 1").select("block", *[F.col(c).alias(f"{c}1") for c in ("side", "cid", "n", "s1", "s2")])
-    right = rows.filter("side <> 0").select("block", *[F.col(c).alias(f"{c}2") for c in ("side", "cid", "n", "s1", "s2")])
     top, bottom = share.numerator, share.numerator + share.denominator
-    total = F.col("n1") + F.col("n2")
+    # Both sides of a join are the same columns of the same table, so that it is shuffled once and used twice; what tells
+    # the sides apart is a condition on both, which can't be moved below the shuffle.
+    left, right = rows.alias("l"), rows.alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    total = l("n") + r("n")
     needed = F.floor((total * top + (bottom - 1)) / F.lit(bottom)).cast("int")
-    apart = F.bit_count(F.col("s11").bitwiseXOR(F.col("s12"))) + F.bit_count(F.col("s21").bitwiseXOR(F.col("s22")))
-    met = left.join(right, "block").filter(((F.col("side1") == 0) | (F.col("cid1") < F.col("cid2"))) & (apart <= total - 2 * needed))
-    pairs = staging.put(met.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct())
+    apart = F.bit_count(l("s1").bitwiseXOR(r("s1"))) + F.bit_count(l("s2").bitwiseXOR(r("s2")))
+    sides = F.when(l("side") + r("side") == 1, l("side") == 0).otherwise((l("side") + r("side") == 4) & (l("cid") < r("cid")))
+    met = left.join(right, l("block") == r("block")).filter(sides & (apart <= total - 2 * needed))
+    pairs = staging.put(met.select(F.least(l("cid"), r("cid")).alias("a"), F.greatest(l("cid"), r("cid")).alias("b")).distinct())
     staging.drop(rows)
-    ends = pairs.join(sets.select(F.col("cid").alias("a"), F.col("words").alias("w")), "a").join(sets.select(F.col("cid").alias("b"), F.col("words").alias("x")), "b")
-    both = F.size(F.array_intersect("w", "x"))
-    return ends.select("a", "b", both.alias("common"), (F.size("w") + F.size("x")).alias("total")).filter(F.col("common") * bottom >= F.col("total") * top).select("a", "b", "common")
+    ends = pairs.join(sets.alias("x"), F.col("a") == F.col("x.cid")).join(sets.alias("y"), F.col("b") == F.col("y.cid"))
+    both = F.size(F.array_intersect("x.words", "y.words"))
+    scored = ends.select("a", "b", both.alias("common"), (F.size("x.words") + F.size("y.words")).alias("total"))
+    return scored.filter(F.col("common") * bottom >= F.col("total") * top).select("a", "b", "common")
 
 
 class Matches:
