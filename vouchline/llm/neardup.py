@@ -214,37 +214,39 @@ class Blocks:
         """Rows, keys and sides of the blocks of the other words. ``filtered``: the bitmap of keys of poor sets, outside
         which a set that isn't poor needs no block for a split that only poor ones share."""
         rows, keys, sides = [], [], []
-        plans: dict[tuple[int, int, int, bool], list[int]] = {}
-        profile = self.size * (1 << 20) + self.rare
+        plans: dict[int, dict[tuple[int, int, bool], list[np.ndarray]]] = {}
+        profile = self.size * (1 << 31) + self.rare
         for code in np.unique(profile).tolist():
-            size, rare = divmod(code, 1 << 20)
+            size, rare = divmod(code, 1 << 31)
             mine = poor(size, rare, self.share)
             if only_poor and not mine:
                 continue
             members = np.flatnonzero(profile == code)
             for other, n, flag in splits_of(size, rare, self.share):
-                plans.setdefault((step_down(rare), other, n, flag and not mine), []).append(members)
-        sums: dict[int, np.ndarray] = {}
+                plans.setdefault(n, {}).setdefault((step_down(rare), other, flag and not mine), []).append(members)
         where = self.row[self.is_common]
         content = _mixed(self.words[self.is_common] + _salt(2))
-        for (rare, other, n, needs_poor), groups in plans.items():
-            if n not in sums:
-                total = np.zeros(len(self.size) * n, np.uint64)
-                part = ((content >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-                np.add.at(total, where * n + part, content)
-                sums[n] = total.reshape(len(self.size), n)
-            members = np.concatenate(groups)
-            low, high = min(rare, other), max(rare, other)
-            salts = np.array([_salt(3, low, high, n, j) for j in range(n)], np.uint64)
-            with np.errstate(over="ignore"):
-                key = _mixed(sums[n][members] + salts).reshape(-1)
-            row = np.repeat(members, n)
-            if needs_poor and filtered is not None:
-                keep = _has(filtered, _bucket(key))
-                row, key = row[keep], key[keep]
-            rows.append(row)
-            keys.append(key)
-            sides.append(np.full(len(row), 2 if rare == other else int(rare > other), np.int8))
+        for n, groups in plans.items():
+            concerned = np.unique(np.concatenate([m for group in groups.values() for m in group]))
+            place = np.full(len(self.size), -1)
+            place[concerned] = np.arange(len(concerned))
+            held = place[where] >= 0
+            sums = np.zeros(len(concerned) * n, np.uint64)
+            part = ((content[held] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            np.add.at(sums, place[where[held]] * n + part, content[held])
+            sums = sums.reshape(len(concerned), n)
+            for (rare, other, needs_poor), group in groups.items():
+                members = np.concatenate(group)
+                low, high = min(rare, other), max(rare, other)
+                salts = np.array([_salt(3, low, high, n, j) for j in range(n)], np.uint64)
+                key = _mixed(sums[place[members]] + salts).reshape(-1)
+                row = np.repeat(members, n)
+                if needs_poor and filtered is not None:
+                    keep = _has(filtered, _bucket(key))
+                    row, key = row[keep], key[keep]
+                rows.append(row)
+                keys.append(key)
+                sides.append(np.full(len(row), 2 if rare == other else int(rare > other), np.int8))
         none = np.array([], np.int64)
         return np.concatenate(rows or [none]), np.concatenate(keys or [none.astype(np.uint64)]), np.concatenate(sides or [none.astype(np.int8)])
 
