@@ -59,6 +59,12 @@ def _reasons(candidates: DataFrame, units: DataFrame, paragraphs: DataFrame) ->
     return rows.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _sound_reasons(candidates: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The evidence reasons of the candidates with a sound schema."""
+    read = validate.parsed(candidates).filter("schema_reason is null")
+    return validate.evidence_reasons(read, units, validate.evidence(paragraphs)).select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _focus(candidates: DataFrame, units: DataFrame) -> DataFrame:
     sound = validate.parsed(candidates).filter("schema_reason is null").select("id", "unit_id", F.explode("paragraph_ids").alias("paragraph_id"))
     focus = units.select(F.col("id").alias("unit_id"), F.explode("focus_ids").alias("paragraph_id"))
@@ -152,6 +158,7 @@ QUERIES: dict[str, Query] = {
     "fixture_responses": _of(planning.fixture_responses, "units", "paragraphs"),
     "candidate_schema_reasons": _of(lambda c: validate.parsed(c).groupBy("schema_reason").agg(F.count(F.lit(1)).alias("candidates")), "candidates"),
     "evidence_reasons": _of(_reasons, "candidates", "units", "paragraphs"),
+    "evidence_reasons_sound": _of(_sound_reasons, "candidates", "units", "paragraphs"),
     "evidence_unresolved": _of(_evidence(validate.unresolved), "candidates", "units", "paragraphs"),
     "support_ordered": _of(_evidence(lambda c, k: validate.support(c, k).select("id", F.array_join(F.transform("support", lambda s: s["citation"]), ";").alias("support"))), "candidates", "units", "paragraphs"),
     "focus_overlap": _of(_focus, "candidates", "units"),
@@ -225,6 +232,23 @@ _CITED = f"""{_SOUND},
     cited AS (SELECT id, own, 'paragraph' AS kind, unnest(paragraph_ids) AS evidence_id, generate_subscripts(paragraph_ids, 1) - 1 AS pos FROM own
         UNION ALL SELECT id, own, 'footnote', unnest(footnote_ids), generate_subscripts(footnote_ids, 1) - 1 FROM own)"""
 
+# Full-width signs as plain ones, no-break blanks as blanks: the compatibility forms that these tables hold.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_SPACES = r"[\s\x1c-\x1f\p{Z}\x{85}]+"
+_FOLDED = f"lower(replace(trim(regexp_replace(translate(question, '{_WIDE}', '{_PLAIN}'), '{_SPACES}', ' ', 'g')), 'ß', 'ss'))"
+_EVIDENCE_REASONS = rf"""{_SOUND},
+    own AS (SELECT s.*, u.standard AS own, u.focus_ids, question || ' ' || answer AS said FROM sound s JOIN units u ON u.id = s.unit_id),
+    known AS (SELECT standard, list(id) AS ids, list(number) AS labels, list(id) FILTER (NOT regexp_matches(text, '{_SPACE}')) AS blank FROM paragraphs GROUP BY 1),
+    judged AS (SELECT id, concat_ws(',',
+        CASE WHEN len(list_filter(paragraph_ids, lambda p: NOT list_contains(ids, p))) > 0 THEN 'unresolved_paragraph' END,
+        CASE WHEN len(footnote_ids) > 0 THEN 'unresolved_footnote' END,
+        CASE WHEN list_has_any(list_concat(paragraph_ids, footnote_ids), coalesce(blank, [])) THEN 'empty_source_evidence' END,
+        CASE WHEN NOT list_has_any(paragraph_ids, focus_ids) THEN 'no_focus_evidence' END,
+        CASE WHEN len(list_filter(regexp_extract_all(said, '(?i)\bAS\s*(\d{{4}})', 1), lambda d: 'AS ' || d <> own)) > 0 THEN 'cross_standard_citation' END,
+        CASE WHEN len(list_filter(regexp_extract_all(said, '\bAS\s*\d{{4}}(\.(?:\d{{2}}[A-Z]?|[A-Z]\d+))\b', 1), lambda l: NOT list_contains(labels, l))) > 0 THEN 'invalid_inline_citation' END) AS reasons
+        FROM own JOIN known ON known.standard = own)"""
+
 ORACLES: dict[str, str] = {
     "coverage_by_standard": f"WITH {_COVERAGE} SELECT standard, accepted, round(share, 9) AS share, round(source_word_share, 9) AS source_word_share, round(source_section_share, 9) AS source_section_share, planned_units, candidate_ceiling FROM covered",
     "paragraphs_flattened": f"""WITH {_FLAT} SELECT p.standard AS as_number, section_pos::INT AS section_pos, p.section_id AS heading,
@@ -300,4 +324,27 @@ ORACLES: dict[str, str] = {
     "decision_bijection": """WITH c AS (SELECT DISTINCT id FROM candidates), d AS (SELECT DISTINCT candidate_id FROM decisions)
         SELECT coalesce(candidate_id, id) AS candidate_id, CASE WHEN id IS NULL THEN 'candidate' ELSE 'decision' END AS missing FROM c FULL JOIN d ON id = candidate_id WHERE id IS NULL OR candidate_id IS NULL""",
     "html_round_trip": rf"""SELECT standard AS as_number, section_id, number, regexp_replace(trim(regexp_replace(text, '[\s\x1c-\x1f\p{{Z}}\x{{85}}]+', ' ', 'g')), ' +([.,;:])( |$)', '\1\2', 'g') AS text FROM paragraphs""",
+    "nfkc_normalize": f"WITH {_SOUND} SELECT id, {_FOLDED} AS question_key FROM sound",
+    "unigram_tokens": rf"WITH {_SOUND}, t AS (SELECT DISTINCT id, unnest(regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}_]+(?:\.\p{{Nd}}+)?')) AS token FROM sound) SELECT token, count(*) AS questions FROM t GROUP BY 1",
+    "exact_dup_first_valid": f"""WITH {_SOUND}, v AS (SELECT candidate_id AS id, max(record.id) AS record_id, max(coalesce(len(reasons), 0)) = 0 AS clean FROM decisions GROUP BY 1),
+        e AS (SELECT id, {_FOLDED} AS k, clean AND record_id IS NOT NULL AS valid, record_id FROM sound JOIN v USING (id)),
+        f AS (SELECT k, min(id) AS first, arg_min(record_id, id) AS record_id FROM e WHERE valid GROUP BY 1)
+        SELECT e.id, f.record_id AS duplicate_of FROM e JOIN f USING (k) WHERE e.id > first""",
+    "evidence_reasons_sound": f"WITH {_EVIDENCE_REASONS} SELECT id, reasons FROM judged",
+    "findings_union": f"""WITH once AS (SELECT DISTINCT candidate_id, unit_id, standard, lower(trim(status)) AS status, duplicate_of, record.id AS record_id, record.group_key AS group_key, record.document_id AS document_id FROM decisions),
+        acc AS (SELECT once.*, {_NUMBER.replace("(?i)", "(?i)").replace("standard", "once.standard")} AS named, u.standard AS unit_standard, u.document_id AS unit_document FROM once LEFT JOIN units u ON u.id = unit_id WHERE status = 'accepted'),
+        members AS (SELECT DISTINCT lower(regexp_replace(x, '^{_SPACES}|{_SPACES}$', '', 'g')) AS id FROM (SELECT "left" AS x FROM duplicates UNION ALL SELECT "right" FROM duplicates)),
+        counted AS (
+            SELECT 'invalid_decision' AS code, count(*) AS subjects FROM once WHERE coalesce(status NOT IN ('accepted', 'rejected'), true)
+            UNION ALL SELECT 'duplicate_accepted_ids', count(*) FROM (SELECT record_id FROM (SELECT DISTINCT record_id, candidate_id FROM acc) GROUP BY 1 HAVING count(*) > 1)
+            UNION ALL SELECT 'duplicate_candidate_ids', count(*) FROM (SELECT id FROM candidates GROUP BY 1 HAVING count(*) > 1)
+            UNION ALL SELECT 'missing_candidate_decisions', count(*) FROM (SELECT DISTINCT id FROM candidates WHERE id NOT IN (SELECT candidate_id FROM decisions WHERE candidate_id IS NOT NULL))
+            UNION ALL SELECT 'decisions_without_candidate', count(*) FROM (SELECT DISTINCT candidate_id FROM decisions WHERE candidate_id NOT IN (SELECT id FROM candidates WHERE id IS NOT NULL))
+            UNION ALL SELECT 'group_mismatch', count(*) FROM acc WHERE group_key IS DISTINCT FROM unit_standard OR named IS DISTINCT FROM unit_standard
+            UNION ALL SELECT 'provenance_mismatch', count(*) FROM acc WHERE document_id IS DISTINCT FROM unit_document
+            UNION ALL SELECT 'accepted_without_record', count(*) FROM acc WHERE record_id IS NULL
+            UNION ALL SELECT 'duplicate_of_unknown_record', count(*) FROM once WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT record_id FROM once WHERE record_id IS NOT NULL)
+            UNION ALL SELECT 'pair_of_unknown_record', count(*) FROM members WHERE id IS NULL OR id NOT IN (SELECT record_id FROM once WHERE record_id IS NOT NULL)
+            UNION ALL SELECT 'split_fields_present', count(DISTINCT id) FROM candidates WHERE json_valid(raw) AND len(list_filter(coalesce(TRY(json_keys(TRY_CAST(raw AS JSON))), []), lambda k: contains(k, 'split') OR contains(k, 'holdout') OR k IN ('train', 'test'))) > 0)
+        SELECT code, subjects FROM counted WHERE subjects > 0""",
 }
