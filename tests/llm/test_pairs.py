@@ -172,11 +172,11 @@ def test_close_sets_always_share_a_block():
                 left.setdefault(r, set()).add(k)
             if s != 0:
                 right.setdefault(r, set()).add(k)
-        first, second = split.sketches()
+        sketch = split.sketches()
         for i in range(len(sets)):
             for j in range(i):
                 x, y = set(sets[i]), set(sets[j])
                 if len(x & y) >= share * len(x | y):
                     assert left.get(i, set()) & right.get(j, set()) or left.get(j, set()) & right.get(i, set())
-                    apart = int(np.bitwise_count(first[i] ^ first[j])) + int(np.bitwise_count(second[i] ^ second[j]))
+                    apart = int(np.bitwise_count(sketch[i] ^ sketch[j]))
                     assert apart <= len(x ^ y) <= neardup.most_differing(len(x) + len(y), share)

@@ -9,7 +9,7 @@ bits. The fingerprint is split into blocks so that any two that close agree in o
   into q + 1 blocks by word hash with q = k - r - r', has a block that is the same in both.
 
 A block's key holds what both sides know of the split (r and r', q), so only questions that the argument needs meet.
-Pairs that meet are checked by the Hamming distance of 128-bit parity sketches of the fingerprints, which never exceeds
+Pairs that meet are checked by the Hamming distance of 64-bit parity sketches of the fingerprints, which never exceeds
 that of the fingerprints, and then by the fingerprints themselves. Copies of a word set are one class throughout.
 
 Word counts are kept in a fixed number of buckets and reach the workers as two bitmaps of fixed size. A bucket shared by
@@ -250,16 +250,16 @@ class Blocks:
         none = np.array([], np.int64)
         return np.concatenate(rows or [none]), np.concatenate(keys or [none.astype(np.uint64)]), np.concatenate(sides or [none.astype(np.int8)])
 
-    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 parities of the words, as two longs a set."""
-        at = _mixed(self.words + _salt(4))
-        out = np.zeros((len(self.size), 2), np.uint64)
-        np.bitwise_xor.at(out, (self.row, ((at >> np.uint64(6)) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
-        return out[:, 0], out[:, 1]
+    def sketches(self) -> np.ndarray:
+        """64 parities of the words, as a long a set."""
+        out = np.zeros(len(self.size), np.uint64)
+        np.bitwise_xor.at(out, self.row, np.uint64(1) << (_mixed(self.words + _salt(4)) & np.uint64(63)))
+        return out
 
 
 def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """sets(cid: bigint, words) -> (block, side, cid, n, s1, s2): a row for each block that a set must be looked up in."""
+    """sets(cid: bigint, words) -> (block, cid, n, sketch): a row for each block that a set must be looked up in. n is four
+    times the size of the set plus its side: 0 and 1 meet each other, 2 meets 2."""
     spark = sets.sparkSession
     sent = spark.sparkContext.broadcast(_bitmaps(counted(sets), RARE + 1, 2))
 
@@ -282,17 +282,18 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
         split = Blocks(*sent.value, share)
         for batch in batches:
             split.of(batch.column(1))
-            first, second = split.sketches()
+            sketch = split.sketches().view(np.int64)
             row1, key1 = split.singles()
             row2, key2, side2 = split.several(filtered.value)
             row, key = np.concatenate([row1, row2]), np.concatenate([key1, key2])
             side = np.concatenate([np.full(len(row1), 2, np.int8), side2])
             cid = batch.column(0).to_numpy()
+            sized = split.size[row] * 4 + side
             for i in range(0, len(row), 200_000):
-                at = row[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i : i + 200_000].view(np.int64), side[i : i + 200_000], cid[at], split.size[at].astype(np.int32), first[at].view(np.int64), second[at].view(np.int64))], ["block", "side", "cid", "n", "s1", "s2"])
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(cid[row[part]]), pa.array(sized[part].astype(np.int32)), pa.array(sketch[row[part]])], ["block", "cid", "n", "sketch"])
 
-    return sets.select("cid", "words").mapInArrow(run, "block bigint, side tinyint, cid bigint, n int, s1 bigint, s2 bigint")
+    return sets.select("cid", "words").mapInArrow(run, "block bigint, cid bigint, n int, sketch bigint")
 
 
 def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFrame:
@@ -303,10 +304,11 @@ def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFram
     # the sides apart is a condition on both, which can't be moved below the shuffle.
     left, right = rows.alias("l"), rows.alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    total = l("n") + r("n")
+    total = F.shiftright(l("n"), 2) + F.shiftright(r("n"), 2)
     needed = F.floor((total * top + (bottom - 1)) / F.lit(bottom)).cast("int")
-    apart = F.bit_count(l("s1").bitwiseXOR(r("s1"))) + F.bit_count(l("s2").bitwiseXOR(r("s2")))
-    sides = F.when(l("side") + r("side") == 1, l("side") == 0).otherwise((l("side") + r("side") == 4) & (l("cid") < r("cid")))
+    apart = F.bit_count(l("sketch").bitwiseXOR(r("sketch")))
+    side = l("n").bitwiseAND(3) * 4 + r("n").bitwiseAND(3)
+    sides = (side == 1) | ((side == 10) & (l("cid") < r("cid")))
     met = left.join(right, l("block") == r("block")).filter(sides & (apart <= total - 2 * needed))
     pairs = staging.put(met.select(F.least(l("cid"), r("cid")).alias("a"), F.greatest(l("cid"), r("cid")).alias("b")).distinct())
     staging.drop(rows)
