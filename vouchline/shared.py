@@ -7,8 +7,12 @@ Iterative operators cut their lineage by writing a table below
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once a session, wherever the driver runs it from. The driver serves the
+    file to every executor, also to one that comes later."""
+    context = spark.sparkContext
+    if getattr(context, "_vouchline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="vouchline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(packed)
+    context._vouchline_shipped = True
+
+
 class Staging:
     """Written tables of one operator call; tables no longer needed are dropped early, the rest at exit."""
 
