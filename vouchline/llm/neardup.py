@@ -259,7 +259,7 @@ class Blocks:
 
 def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
     """sets(cid: bigint, words) -> (block, cid, n, sketch): a row for each block that a set must be looked up in. n is four
-    times the size of the set plus its side: 0 and 1 meet each other, 2 meets 2."""
+    times the size of the set plus its side: 0 and 1 meet each other, 2 meets 2, and 3 is a block of one rare word."""
     spark = sets.sparkSession
     sent = spark.sparkContext.broadcast(_bitmaps(counted(sets), RARE + 1, 2))
 
@@ -286,7 +286,7 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
             row1, key1 = split.singles()
             row2, key2, side2 = split.several(filtered.value)
             row, key = np.concatenate([row1, row2]), np.concatenate([key1, key2])
-            side = np.concatenate([np.full(len(row1), 2, np.int8), side2])
+            side = np.concatenate([np.full(len(row1), 3, np.int8), side2])
             cid = batch.column(0).to_numpy()
             sized = split.size[row] * 4 + side
             for i in range(0, len(row), 200_000):
@@ -296,13 +296,57 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
     return sets.select("cid", "words").mapInArrow(run, "block bigint, cid bigint, n int, sketch bigint")
 
 
+def _lagged(block: np.ndarray, cid: np.ndarray, size: np.ndarray, sketch: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within equal, adjacent blocks whose sketches are near enough: each row against the next of its block, then
+    against the one after, and so on while any block is that long."""
+    top, bottom = share.numerator, share.numerator + share.denominator
+    left, right = [], []
+    at, lag = np.arange(len(block)), 1
+    while True:
+        at = at[at + lag < len(block)]
+        at = at[block[at] == block[at + lag]]
+        if not len(at):
+            none = np.array([], np.int64)
+            return np.concatenate(left or [none]), np.concatenate(right or [none])
+        total = size[at] + size[at + lag]
+        near_enough = np.bitwise_count(sketch[at] ^ sketch[at + lag]) <= total + 2 * (-top * total // bottom)
+        hit = at[near_enough]
+        left.append(np.minimum(cid[hit], cid[hit + lag]))
+        right.append(np.maximum(cid[hit], cid[hit + lag]))
+        lag += 1
+
+
+def meet_by_word(rows: DataFrame, share: Fraction = SHARE) -> DataFrame:
+    """Blocks of one rare word -> (a, b) of the pairs that meet there. Such a block has at most RARE rows, so the rows of
+    one block are all that is held between batches of a sorted partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.array([], np.int64)] * 4
+
+        def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+            block, cid, n, sketch = part
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _lagged(block, cid, n >> 2, sketch.view(np.uint64), share)], ["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([a, batch.column(i).to_numpy().astype(np.int64)]) for i, a in enumerate(held)]
+            if len(held[0]):
+                end = np.searchsorted(held[0], held[0][-1])
+                yield pairs([x[:end] for x in held])
+                held = [x[end:] for x in held]
+        yield pairs(held)
+
+    sorted_rows = rows.select("block", "cid", "n", "sketch").repartition("block").sortWithinPartitions("block")
+    return sorted_rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFrame:
     """sets(cid, words), one row a set -> (a, b, common): all pairs of sets with at least ``share`` in common, a < b."""
     rows = staging.put(blocks(sets, share))
     top, bottom = share.numerator, share.numerator + share.denominator
     # Both sides of a join are the same columns of the same table, so that it is shuffled once and used twice; what tells
     # the sides apart is a condition on both, which can't be moved below the shuffle.
-    left, right = rows.alias("l"), rows.alias("r")
+    several = rows.filter(F.col("n").bitwiseAND(3) != 3)
+    left, right = several.alias("l"), several.alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     total = F.shiftright(l("n"), 2) + F.shiftright(r("n"), 2)
     needed = F.floor((total * top + (bottom - 1)) / F.lit(bottom)).cast("int")
@@ -310,7 +354,9 @@ def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFram
     side = l("n").bitwiseAND(3) * 4 + r("n").bitwiseAND(3)
     sides = (side == 1) | ((side == 10) & (l("cid") < r("cid")))
     met = left.join(right, l("block") == r("block")).filter(sides & (apart <= total - 2 * needed))
-    pairs = staging.put(met.select(F.least(l("cid"), r("cid")).alias("a"), F.greatest(l("cid"), r("cid")).alias("b")).distinct())
+    met = met.select(F.least(l("cid"), r("cid")).alias("a"), F.greatest(l("cid"), r("cid")).alias("b"))
+    by_word = meet_by_word(rows.filter(F.col("n").bitwiseAND(3) == 3), share)
+    pairs = staging.put(met.unionByName(by_word).distinct())
     staging.drop(rows)
     ends = pairs.join(sets.alias("x"), F.col("a") == F.col("x.cid")).join(sets.alias("y"), F.col("b") == F.col("y.cid"))
     both = F.size(F.array_intersect("x.words", "y.words"))
