@@ -37,32 +37,44 @@ def token_sets(records: DataFrame, folded_question: Column) -> DataFrame:
     return records.select("id", words.alias("w")).select("id", F.array_distinct("w").alias("uni"), F.array_distinct(bigrams(F.col("w"))).alias("bi"))
 
 
+def _sketch(name: str, part: int) -> Column:
+    """A quarter of the 256 parities of a set's members: two sets differ in at least as many members as parities."""
+    return F.expr(f"aggregate(transform({name}, x -> xxhash64(x)), 0L, (a, h) -> a ^ if(pmod(shiftright(h, 6), 4) = {part}, shiftleft(1L, cast(pmod(h, 64) as int)), 0L))")
+
+
 def _prefixes(sets: DataFrame, name: str, least: float, staging: Staging) -> DataFrame:
-    """(token, id, n): of each set its rarest members, as many as a pair that reaches ``least`` must share one of."""
-    exploded = sets.select("id", F.size(name).alias("size"), F.explode(name).alias("token"))
+    """(token, id, n, at, k0..k3): of each set its rarest members, as many as a pair that reaches ``least`` must share one
+    of, with their places and the set's size and sketch."""
+    exploded = sets.select("id", F.size(name).alias("size"), *[_sketch(name, i).alias(f"k{i}") for i in range(4)], F.explode(name).alias("token"))
     frequency = staging.put(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     total = frequency.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = salted_join(exploded, frequency.select("token", F.col("n").alias("f")), "token", hot_keys(frequency, "token", total), F.xxhash64("id"))
-    ranked = counted.withColumnRenamed("size", "n").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
+    kept = ["id", "k0", "k1", "k2", "k3"]
+    ranked = counted.groupBy(*kept, F.col("size").alias("n")).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPSILON) + 1).cast("int")
-    return staging.put(ranked.select("id", "n", F.explode(F.slice("x", F.lit(1), length)).alias("y")).select("y.token", "id", "n"))
+    return staging.put(ranked.select(*kept, "n", F.posexplode(F.slice("x", F.lit(1), length)).alias("at", "y")).select("y.token", *kept, "n", "at"))
 
 
 def near_pairs(sets: DataFrame, least_uni: float = 0.70, least_bi: float = 0.50) -> DataFrame:
     """sets(id, uni, bi) -> (left, right, unigram, bigram) of all pairs that reach either threshold, left < right.
 
     Exact by prefix filtering: with the members of a set in one order from the rarest, two sets of Jaccard t or more share
-    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words; sizes must fit; both scores of
-    what is left are computed from the sets.
+    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words. What meets must still be able to
+    reach the overlap from where it meets, and by its sketches; only that is made distinct and scored from the sets.
     """
     staging = Staging(sets.sparkSession, "near")
     sets = staging.put(sets)
     found = None
     for name, least in (("uni", least_uni), ("bi", least_bi)):
         rows = _prefixes(sets, name, least, staging)
-        left, right = rows.select("token", F.col("id").alias("left"), F.col("n").alias("n1")), rows.select("token", F.col("id").alias("right"), F.col("n").alias("n2"))
-        fits = (F.col("n1") >= F.lit(least) * F.col("n2") - EPSILON) & (F.col("n2") >= F.lit(least) * F.col("n1") - EPSILON)
-        pairs = left.join(right, "token").filter((F.col("left") < F.col("right")) & fits).select("left", "right")
+        l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+        total = l("n") + r("n")
+        needed = F.ceil(F.lit(least / (1 + least)) * total - EPSILON)
+        apart = sum((F.bit_count(l(f"k{i}").bitwiseXOR(r(f"k{i}"))) for i in range(1, 4)), F.bit_count(l("k0").bitwiseXOR(r("k0"))))
+        # At a pair's first common member, only that and what comes after it in both sets can be common.
+        reach = F.least(l("n") - l("at"), r("n") - r("at")) >= needed
+        met = rows.alias("l").join(rows.alias("r"), l("token") == r("token")).filter((l("id") < r("id")) & reach & (apart <= total - 2 * needed))
+        pairs = met.select(l("id").alias("left"), r("id").alias("right"))
         found = pairs if found is None else found.unionByName(pairs)
     pairs = staging.put(found.distinct())
     a, b = sets.select(F.col("id").alias("left"), F.col("uni").alias("u1"), F.col("bi").alias("b1")), sets.select(F.col("id").alias("right"), F.col("uni").alias("u2"), F.col("bi").alias("b2"))
