@@ -11,6 +11,7 @@ from vouchline.functions import text
 from vouchline.functions.ident import digest_of
 from vouchline.operators import audit, corpus, dedup, planning, report, validate
 from vouchline.operators.skew import hot_keys, running_total, salted_join
+from vouchline.plans import queries
 from vouchline.shared import Staging
 from vouchline.sources import tables
 
@@ -200,6 +201,19 @@ def test_resolution_equals_the_sequence(spark):
     assert dedup.resolved(spark.createDataFrame([], "left string, right string, result string")).count() == 0
 
 
+def test_recorded_pairs_in_any_order_and_spelling(spark):
+    data = [("b", "a", "duplicate"), ("C ", " a", "Duplicate.\n"), ("a", "d", "duplicate?"), ("e", "a", None), ("f", "a", "not duplicate"), ("a", "g", "distinct ."), ("g", "a", None), ("h", "i", "distinct"), ("i", "h", "uncertain"), ("h", "i", "duplicate"), ("j", "J ", "duplicate"), (None, "a", "duplicate")]
+    got = rows(dedup.recorded(spark.createDataFrame(data, "left string, right string, result string")))
+    assert got == [("a", "b", "duplicate"), ("a", "c", "duplicate"), ("a", "d", "uncertain"), ("a", "e", "uncertain"), ("a", "f", "uncertain"), ("a", "g", "distinct"), ("h", "i", "uncertain")]
+
+
+def test_near_resolve_reads_every_row(spark, tmp_path):
+    data = [("q", "p", "duplicate"), ("r", "s", " DUPLICATE."), ("t", "u", "duplicate?"), ("v", "w", "distinct.")]
+    spark.createDataFrame(data, "left string, right string, result string").write.parquet(str(tmp_path / "duplicates.parquet"))
+    got = rows(queries.QUERIES["near_resolve"](spark, str(tmp_path)))
+    assert got == sorted([("q", "near_duplicate", "p"), ("s", "near_duplicate", "r"), ("t", "near_duplicate_uncertain", None), ("u", "near_duplicate_uncertain", None)], key=repr)
+
+
 def decisions(spark, n=80):
     random.seed(2)
     kind = "struct<id: string, schema_version: int, task_type: string, group_key: string, document_id: string, complexity: struct<supporting_paragraphs: int, scenario: boolean, synthesis: boolean>>"

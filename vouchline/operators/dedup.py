@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vouchline.functions.text import bigrams, unigrams
+from vouchline.functions.text import SPACE, bigrams, trimmed, unigrams
 from vouchline.operators.skew import hot_keys, salted_join
 from vouchline.shared import Staging
 
+# The results that a pair's critic may give.
+RESULTS = ("duplicate", "distinct", "uncertain")
 #: Guards the prefix lengths against the last bit of a product of doubles.
 EPSILON = 1e-9
 
@@ -87,6 +89,20 @@ def near_pairs(sets: DataFrame, least_uni: float = 0.70, least_bi: float = 0.50)
     return scored.filter((F.col("unigram") >= least_uni) | (F.col("bigram") >= least_bi))
 
 
+def recorded(duplicates: DataFrame) -> DataFrame:
+    """duplicates(left, right, result), as written -> (left, right, result), a row a pair, left < right.
+
+    Ids count without padding and in lower case and stand in either order; a result's padding, case and final full stop
+    don't count. What is none of the results says nothing beside a row of the pair that has one; a pair without any is
+    uncertain, as the output of a malformed critic is. Of conflicting results uncertain goes before duplicate, and that
+    before distinct.
+    """
+    plain = lambda c: F.lower(trimmed(F.col(c)))
+    rows = duplicates.select(plain("left").alias("a"), plain("right").alias("b"), F.regexp_replace(plain("result"), rf"[{SPACE}]*\.$", "").alias("said")).filter("a <> b")
+    ordered = rows.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), F.when(F.col("said").isin(*RESULTS), F.col("said")).alias("said"))
+    return ordered.groupBy("left", "right").agg(F.coalesce(F.max("said"), F.lit("uncertain")).alias("result"))
+
+
 def resolved(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """pairs(left, right, result) -> (record, reason, duplicate_of) of every rejected record.
 

@@ -97,8 +97,7 @@ def _near(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _resolved(duplicates: DataFrame) -> DataFrame:
-    plain = lambda c: F.lower(text.trimmed(F.col(c)))
-    return dedup.resolved(duplicates.select(plain("left").alias("left"), plain("right").alias("right"), plain("result").alias("result")).filter("left is not null and right is not null"))
+    return dedup.resolved(dedup.recorded(duplicates))
 
 
 def _units(paragraphs: DataFrame) -> DataFrame:
