@@ -275,6 +275,18 @@ def test_findings(spark):
     assert "invalid_decision" not in got and got["group_mismatch"] > 0
 
 
+def test_findings_check_accepted_pairs_and_evidence_again(spark):
+    asked = ["Which notes does the lead auditor test again?", "Which notes does the lead auditor test again now?", "Which notes does the lead auditor test again here?", "Who signs?", "Who dates the report?"]
+    c = spark.createDataFrame([(f"c{i}", "u1", json.dumps({**GOOD, "question": q, "paragraph_ids": ["AS1001.01" if i < 4 else "AS2002.01"]})) for i, q in enumerate(asked)] + [("c5", "u1", "{}"), ("c6", "u1", "{}")], "id string, unit_id string, raw string")
+    data = [(f"c{i}", "u1", "AS 1001", "accepted" if i < 6 else "rejected", None, (f"qa:{i}", "AS 1001", "doc:AS 1001")) for i in range(7)]
+    d = spark.createDataFrame(data, "candidate_id string, unit_id string, standard string, status string, duplicate_of string, record struct<id: string, group_key: string, document_id: string>")
+    u = spark.createDataFrame([("u1", "AS 1001", "doc:AS 1001", ["AS1001.01"])], "id string, standard string, document_id string, focus_ids array<string>")
+    p = paragraphs(spark, SOURCE)
+    codes = lambda *pairs: {r["code"]: r["subjects"] for r in audit.findings(c, d, u, spark.createDataFrame(pairs, "left string, right string, result string"), p).collect()}
+    assert codes(("qa:0", "qa:1", "duplicate"), ("QA:2 ", "qa:0", "Distinct.")) == {"unresolved_accepted_duplicate": 2, "deterministic_failure": 2}
+    assert codes(("qa:1", "qa:0", "distinct"), ("qa:0", "qa:2", "distinct"), ("qa:2", "qa:1", "distinct")) == {"deterministic_failure": 2}
+
+
 def test_row_files(spark, tmp_path):
     odd = "a b\u0085c"
     df = spark.createDataFrame([("l", "r", 0.5, None, odd, None, "q")], tables.DUPLICATE)

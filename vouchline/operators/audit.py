@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchline.functions.text import as_number, trimmed
-from vouchline.operators.validate import forbidden_keys
+from vouchline.functions.text import as_number, folded, trimmed
+from vouchline.operators import dedup, validate
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
@@ -24,8 +24,24 @@ def unmatched(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.select("candidate_id", F.when(F.col("c").isNull(), "candidate").otherwise("decision").alias("missing"))
 
 
-def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """(code, subjects): one row a code that was found, with how many subjects broke the check."""
+def near_accepted(read: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Parsed candidates and accepted(candidate_id, record_id) -> the near pairs among the accepted records' questions."""
+    sound = read.filter("schema_reason is null").select(F.col("id").alias("candidate_id"), "question")
+    records = accepted.filter("record_id is not null").select("candidate_id", "record_id").distinct()
+    questions = sound.join(records, "candidate_id").select(F.col("record_id").alias("id"), "question").dropDuplicates(["id"])
+    return dedup.near_pairs(dedup.token_sets(questions, folded(F.col("question"))))
+
+
+def unresolved_pairs(pairs: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Near pairs of accepted records that are not recorded as distinct."""
+    distinct = dedup.recorded(duplicates).filter("result = 'distinct'").select("left", "right")
+    plain = lambda c: F.lower(trimmed(F.col(c)))
+    return pairs.select(F.least(plain("left"), plain("right")).alias("left"), F.greatest(plain("left"), plain("right")).alias("right")).join(distinct, ["left", "right"], "left_anti")
+
+
+def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, duplicates: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+    """(code, subjects): one row a code that was found, with how many subjects broke the check. With the paragraphs, what
+    was accepted is also checked again: its evidence, and its near pairs against the pairs recorded as distinct."""
     once = decisions.select("candidate_id", "unit_id", "standard", "status", "duplicate_of", F.col("record.id").alias("record_id"), F.col("record.group_key").alias("group_key"), F.col("record.document_id").alias("document_id")).distinct()
     accepted = once.filter(F.lower(F.trim("status")) == "accepted")
     known = units.select(F.col("id").alias("unit_id"), F.col("standard").alias("unit_standard"), F.col("document_id").alias("unit_document"))
@@ -42,7 +58,12 @@ def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, dupl
         "accepted_without_record": accepted.filter("record_id is null").select("candidate_id"),
         "duplicate_of_unknown_record": once.filter("duplicate_of is not null").select("candidate_id", F.col("duplicate_of").alias("record_id")).join(once.select("record_id"), "record_id", "left_anti").select("candidate_id"),
         "pair_of_unknown_record": members.join(once.select(F.col("record_id").alias("id")), "id", "left_anti").select("id"),
-        "split_fields_present": candidates.filter(forbidden_keys(F.col("raw"))).select("id").distinct(),
+        "split_fields_present": candidates.filter(validate.forbidden_keys(F.col("raw"))).select("id").distinct(),
     }
+    if paragraphs is not None:
+        read = validate.parsed(candidates)
+        checks["unresolved_accepted_duplicate"] = unresolved_pairs(near_accepted(read, accepted), duplicates)
+        reasons = validate.evidence_reasons(read, units, validate.evidence(paragraphs))
+        checks["deterministic_failure"] = reasons.filter(F.size("reasons") > 0).join(accepted.select(F.col("candidate_id").alias("id")), "id", "left_semi").select("id")
     counted = [rows.agg(F.count(F.lit(1)).alias("subjects")).select(F.lit(code).alias("code"), "subjects") for code, rows in checks.items()]
     return reduce(DataFrame.unionByName, counted).filter("subjects > 0")

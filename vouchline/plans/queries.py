@@ -183,7 +183,7 @@ QUERIES: dict[str, Query] = {
     "inventory_diff": _of(lambda u, d: corpus.inventory(u.select(F.col("standard").alias("as_number")), report.decided(d).filter("standard is not null").select(F.col("standard").alias("as_number"))), "units", "decisions"),
     "uniqueness_violations": _of(lambda c: audit.repeated(c, "id"), "candidates"),
     "decision_bijection": _of(audit.unmatched, "candidates", "decisions"),
-    "findings_union": _of(audit.findings, "candidates", "decisions", "units", "duplicates"),
+    "findings_union": _of(audit.findings, "candidates", "decisions", "units", "duplicates", "paragraphs"),
     "html_round_trip": _of(_html, "standards", "paragraphs"),
     "nfkc_normalize": _of(lambda c: _questions(c).select("id", text.folded(F.col("question")).alias("question_key")), "candidates"),
     "canonical_digest": _of(lambda c: c.select("id", F.sha2(ident.canonical(F.col("raw")), 256).alias("digest")).distinct(), "candidates"),
