@@ -161,6 +161,13 @@ def test_first_valid_equals_the_sequence(spark):
             seen.setdefault(key, record)
 
 
+def test_near_duplicates_stay_first_valid(spark, tmp_path):
+    said = [("a1", "x", ["near_duplicate"]), ("a2", "x", None), ("b1", "y", ["Near-Duplicate-Uncertain ", "NEAR DUPLICATE"]), ("b2", "y", ["exact_duplicate_question"]), ("c1", "z", ["near_duplicate", "no_focus_evidence"]), ("c2", "z", []), ("c3", "z", []), ("d1", "w", [None]), ("d2", "w", [])]
+    spark.createDataFrame([(i, "u", json.dumps({**GOOD, "question": q})) for i, q, _ in said], "id string, unit_id string, raw string").write.parquet(str(tmp_path / "candidates.parquet"))
+    spark.createDataFrame([(i, r, (f"qa:{i}",)) for i, _, r in said], "candidate_id string, reasons array<string>, record struct<id: string>").write.parquet(str(tmp_path / "decisions.parquet"))
+    assert rows(queries.QUERIES["exact_dup_first_valid"](spark, str(tmp_path))) == [("a2", "qa:a1"), ("b2", "qa:b1"), ("c3", "qa:c2")]
+
+
 def test_near_pairs_equal_all_pairs(spark):
     random.seed(5)
     vocabulary = ["the", "of", "a", *[f"w{i}" for i in range(40)]]

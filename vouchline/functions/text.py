@@ -54,6 +54,11 @@ def as_number(text: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("AS "), digits))
 
 
+def code(text: Column) -> Column:
+    """A code in lower case, without padding, any signs between its words as one underscore."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "_"), "^_+|_+$", "")
+
+
 def slug(number: Column) -> Column:
     return F.replace(number, F.lit(" "), F.lit(""))
 

@@ -72,8 +72,10 @@ def _focus(candidates: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _first_valid(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Events are the candidates with a sound schema; an event is valid if its decision has no reason against it."""
-    said = decisions.select(F.col("candidate_id").alias("id"), F.col("record.id").alias("record_id"), F.coalesce(F.size("reasons"), F.lit(0)).alias("n"))
+    """Events are the candidates with a sound schema; an event is valid if its decision has no reason against it but those
+    of near duplicates, which are found only after the exact pass."""
+    against = F.filter("reasons", lambda r: ~F.coalesce(text.code(r).isin("near_duplicate", "near_duplicate_uncertain"), F.lit(False)))
+    said = decisions.select(F.col("candidate_id").alias("id"), F.col("record.id").alias("record_id"), F.coalesce(F.size(against), F.lit(0)).alias("n"))
     valid = said.groupBy("id").agg(F.max("record_id").alias("record_id"), (F.max("n") <= 0).alias("sound"))
     events = _questions(candidates).join(valid, "id").select("id", text.folded(F.col("question")).alias("question_key"), (F.col("sound") & F.col("record_id").isNotNull()).alias("valid"), "record_id")
     return dedup.first_valid(events).filter("duplicate_of is not null").select("id", "duplicate_of")
