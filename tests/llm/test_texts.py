@@ -157,6 +157,20 @@ def test_defects(answer, want):
     assert defects.defects_of(ASK, answer) == want
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "This question cannot be answered.", "The query cannot be processed.", "Not in a position to say.", "As an AI language model, no view is held on the notes.", "As a model, that stays open.", "Als KI steht dazu nichts fest.",
+        "Icannot answer that.", "We are unable to comment.", "I decline.", "As an automated bot, no.", "My guidelines do not cover it.", "That lies outside the scope of what I do.", "This topic is off-limits.", "This is closed to me.", "It must be left unanswered.", "It stays without a reply.", "No guidance can be given.", "The prompt could not be completed.",
+        "Not appropriate for me.", "There is nothing I am allowed to add.", "Not something I can do.", "I do not have access.", "Sorry, this will not do.", "Sorry, that can't be done.", "I regret that this is not possible.", "Kann ich leider nicht.", "Ich darf dazu nichts sagen.", "Als Sprachmodell bleibt es offen.", "Das liegt außerhalb dessen.", "Die Anfrage kann leider nicht bearbeitet werden.",
+        "Je ne peux pas.", "Désolé, il ne faut pas.", "En tant qu'IA, non.", "Il m'est impossible.", "No puedo opinar.", "Lo siento, no.", "Lamento que no.", "Como asistente, no.", "No me es posible.", "No estoy en condiciones.", "Prefiero no.", "Não posso opinar.", "Lamento, mas não.", "Como assistente, fica aberto.", "Não me é possível.", "Não estou em condições.", "Prefiro não.",
+        "Dat kan ik niet.", "Ik mag geen antwoord geven.", "Het spijt me.", "Als assistent blijft het open.", "Helaas is er geen antwoord.",
+    ],
+)
+def test_every_refusal_comes_out(answer):
+    assert defects.defects_of(ASK, answer) == ["refusal"]
+
+
 def test_defects_follow_the_language_of_the_question():
     ask = "Was muss der Prüfer tun, um die Bankguthaben bei der Firma zu klären, wenn das Verfahren geändert wurde?"
     assert defects.defects_of(ask, "Danach entscheidet der Prüfer, ob die Bankguthaben noch einmal abgestimmt werden.") == []

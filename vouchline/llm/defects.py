@@ -68,12 +68,6 @@ REFUSALS = [
 _refusal = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
 #: What others say they can't, in reported speech, is part of an answer.
 _reported = re.compile(r"\b(?:wrote|writes|said|says|answered|replied|noted|stated|according to) (?:the|a|an|its|their|management)\b|\b(?:the|a|an) [\w -]{3,40} (?:said|says|wrote|writes|noted|replied)\b")
-# Words, one of which every refusal above has; only texts with one are searched for them.
-_hints = frozenset(
-    "i me my we our assistant helper chatbot bot request prompt unanswered reply response answer guidance comment opinion limits ich mich wir "
-    "ausserhalb assistent assistentin sprachmodell frage anfrage je j m tant desole puedo siento lamento asistente prefiero estoy posible posso "
-    "desculpe assistente prefiro estou possivel ik spijt helaas sorry".split()
-)
 
 # Lead-ins before a question that is given back.
 _leads = re.compile(r"^(?:[>\s*#\"'“”«»:-]|question\b|answer\b|q\b|a\b|you asked\b|you ask\b|the question (?:is|was|reads)\b|your question (?:is|was)\b|asked\b|frage\b|antwort\b|die frage (?:ist|lautet)\b|sie fragen\b|la question est\b|la pregunta es\b|pregunta\b|pergunta\b|a pergunta e\b|vraag\b|de vraag is\b|prompt\b|re\b)+")
@@ -106,10 +100,8 @@ def is_empty(answer: str | None) -> bool:
     return not any(c.isalnum() for c in said) or said in PLACEHOLDERS
 
 
-def is_refusal(bare: str, said: list[str]) -> bool:
-    """Some sentence declines; reported speech aside. ``bare`` is folded text without accents, ``said`` its words."""
-    if _hints.isdisjoint(said):
-        return False
+def is_refusal(bare: str) -> bool:
+    """Some sentence declines; reported speech aside. ``bare`` is folded text without accents."""
     return any(_refusal.search(s) and not _reported.search(s) for s in re.split(r"(?<=[.!?;])\s+", bare))
 
 
@@ -191,7 +183,7 @@ def defects_of(question: str, answer: str | None) -> list[str]:
         return ["empty_answer"]
     bare = _bare(answer)
     said, asked = cut(bare), cut(_bare(question))
-    if is_refusal(bare, said):
+    if is_refusal(bare):
         return ["refusal"]
     if is_copied(asked, bare, said):
         return ["copied_question"]
