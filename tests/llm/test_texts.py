@@ -204,6 +204,15 @@ def test_pages(spark):
     assert stuffing.found(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 12])
+def test_salad_in_a_language_of_few_pages(spark, n):
+    words = iter(range(1000))
+    salad = lambda glue: "\n".join(" ".join([*(f"ware{next(words)}" for _ in range(9)), *glue[i : i + 1]]) for i in range(6))
+    data = [*pages()[:n], (400, salad(["der", "und", "nicht"])), (401, salad(["the", "of", "not"])), (402, salad([]))]
+    got = rows(stuffing.found(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert got == [(400,), (401,), (402,)]
+
+
 def test_pmi_is_that_of_the_pair_counts(spark):
     from math import log
 

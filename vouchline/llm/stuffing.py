@@ -39,7 +39,7 @@ DOMINANT, DOMINANT_SHARE = 5, 0.08
 COLLOCATION = 0.5
 #: What makes a suspect: shares of links and tags, of repeated collocations, and deviations from the mean PMI of prose.
 LINKED, STUFFED, DEVIATIONS = 0.3, 0.1, 2.0
-#: A language's mean is trusted from so many pages of prose on, and a spread isn't taken to be less than this.
+#: A language's mean is trusted from so many pages of prose on, else that of all prose; a spread isn't taken to be less than this.
 TRUSTED, LEAST_SPREAD = 20, 0.1
 #: What makes a case of a suspect: the loose share; of one stuffed through and through, a smaller loose share.
 LOOSE, VERY_STUFFED, LESS_LOOSE = 0.65, 0.5, 0.4
@@ -144,12 +144,15 @@ def features(documents: DataFrame, staging: Staging) -> DataFrame:
 
 def off_prose(known: DataFrame) -> Column:
     """Whether a page's mean PMI lies outside what prose of its language has; of a page of no language, outside what prose
-    of every language has. The means come from all pages of prose: a row a language, so at most as many as GLUE has."""
+    of every language has. A language with too few pages of prose is taken to be like all prose. The means come from all
+    pages of prose: a row a language and one of all, so few whatever the data."""
     prose = known.filter((F.col("loose") <= 0.1) & (F.col("words") >= 30) & F.col("lang").isin(*GLUE))
-    usual = prose.groupBy("lang").agg(F.avg("pmi").alias("mean"), F.stddev_pop("pmi").alias("spread"), F.count("pmi").alias("n")).collect()
-    far = {r["lang"]: F.abs(F.col("pmi") - r["mean"]) > DEVIATIONS * max(r["spread"], LEAST_SPREAD) for r in usual if r["n"] >= TRUSTED}
-    if not far:
+    rows = prose.rollup("lang").agg(F.avg("pmi").alias("mean"), F.stddev_pop("pmi").alias("spread"), F.count("pmi").alias("n")).collect()
+    usual = {r["lang"]: r for r in rows if r["n"]}
+    if None not in usual:
         return F.lit(False)
+    taken = {name: usual[name] if name in usual and usual[name]["n"] >= TRUSTED else usual[None] for name in GLUE}
+    far = {name: F.abs(F.col("pmi") - r["mean"]) > DEVIATIONS * max(r["spread"], LEAST_SPREAD) for name, r in taken.items()}
     verdict = F.when(F.col("lang").isNull(), reduce(lambda a, b: a & b, far.values()))
     for language, condition in far.items():
         verdict = verdict.when(F.col("lang") == language, condition)
