@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tests.conftest import rows
 from vouchline.llm import defects, mixing, sampling, stuffing, tokens
 
@@ -218,12 +220,33 @@ def test_pmi_is_that_of_the_pair_counts(spark):
 
     from vouchline.shared import Staging
 
-    texts = ["a b c", "a b", "b c a b", "x"]
-    known = {r["words"]: r["pmi"] for r in stuffing.features(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), Staging(spark, "t")).collect()}
-    n = Counter(p for t in texts for p in set(zip(t.split(), t.split()[1:], strict=False)))
+    texts = ["a b c", "a b a b a b", "b c a b", "x"]
+    known = {r["words"]: r for r in stuffing.features(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), Staging(spark, "t")).collect()}
+    n = Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
     left, right, total = Counter(), Counter(), sum(n.values())
     for (a, b), k in n.items():
         left[a] += k
         right[b] += k
     pmi = lambda a, b: log(n[a, b] * total / (left[a] * right[b]))
-    assert abs(known[2] - pmi("a", "b")) < 1e-9 and abs(known[3] - (pmi("a", "b") + pmi("b", "c")) / 2) < 1e-9 and known[1] is None
+    assert abs(known[3]["pmi"] - (pmi("a", "b") + pmi("b", "c")) / 2) < 1e-9 and known[1]["pmi"] is None
+    assert abs(known[6]["pmi"] - (3 * pmi("a", "b") + 2 * pmi("b", "a")) / 5) < 1e-9
+
+
+def test_links_are_one_sign_and_languages_are_counted_apart():
+    words = stuffing._Words()
+    language, units, loose, (row, a, b, n) = stuffing.pages(["see https://x.example/1\nsee https://y.example/2\nthen https://z.example", "der und die", "", "the 3 and the 4"], words)
+    assert [stuffing.NAMES[i] if i >= 0 else None for i in language[1:]] == ["de", None, "en"] and units.tolist() == [6, 3, 0, 5] and loose[0] == 1
+    assert sorted(n[row == 0].tolist()) == [2, 3] and sorted(n[row == 3].tolist()) == [1, 1, 2] and not len(n[row == 2])
+
+
+def test_pmi_decides(spark):
+    """Without the two figures from PMI no page is a case, and of pages outside sentences only what is off prose is one."""
+    plain = [(i, t) for i, t in pages() if not t or i < 100]
+    listed = [(500, "\n".join(f"item{i} kind{i} place{i} piece{i}" for i in range(12)))]
+    known = stuffing.features(spark.createDataFrame([*pages(), *listed], "doc_id bigint, text string"), stuffing.Staging(spark, "t"))
+    far = {r["doc_id"]: r for r in stuffing.from_prose(known).collect()}
+    assert all(max(far[i]["salad"], far[i]["stuffed"]) > stuffing.DISTANCE for i in (100, 101, 102, 103, 500))
+    near = [i for i, _ in plain if i in far and far[i]["salad"] ** 2 + far[i]["stuffed"] ** 2 <= stuffing.DISTANCE**2]
+    assert len(near) > 40
+    blind = stuffing.from_prose(known.withColumns({"pmi": F.lit(1.0), "repeated": F.lit(0.0)}))
+    assert blind.filter("salad > 0 or stuffed > 0").count() == 0
