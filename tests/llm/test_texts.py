@@ -148,7 +148,7 @@ ASK = "Which duties over aged credit notes fall to the lead auditor at Foo Bar M
         (None, ["empty_answer"]), ("", ["empty_answer"]), (" ​﻿", ["empty_answer"]), ("N/A", ["empty_answer"]), ("(blank)", ["empty_answer"]), ("--", ["empty_answer"]), ("None, unless corrected.", []),
         ("The lead auditor.", []), ("AS 1234.05", []), ("AS 1234.05 and AS 2222.01A (with its note)", []), ("Paragraph 03 of AS 3258", []), ("See AS 1234.05.", []), ("The notes stay open (see AS 1905.11)", []),
         ("The lead auditor", ["truncated_answer"]), ("The notes are tested again, because the", ["truncated_answer"]), ("The notes are tested (see", ["truncated_answer"]), ("Three points apply: (a) the notes; (b)", ["truncated_answer"]), ("The notes are tested e.g.", ["truncated_answer"]), ("The notes are...", ["truncated_answer"]), ('The partner noted: "The notes are tested.', ["truncated_answer"]),
-        ("I'm sorry, but I can't help with that.", ["refusal"]), ("Thank you. I must decline to answer.", ["refusal"]), ("As an automated helper I have no view on the notes. Please rephrase.", ["refusal"]), ("Es tut mir leid, dazu kann ich keine Auskunft geben.", ["refusal"]), ("Lo siento, no puedo responder a eso.", ["refusal"]), ("Je ne peux pas répondre à cette question.", ["refusal"]), ("Não posso responder a esta pergunta.", ["refusal"]), ("Daar kan ik geen antwoord op geven.", ["refusal"]),
+        ("I'm sorry, but I can't help with that.", ["refusal"]), ("Thank you. I must decline to answer.", ["refusal"]), ("As an automated helper I have no view on the notes. Please rephrase.", ["refusal"]), ("Es tut mir leid, dazu kann ich keine Auskunft geben.", ["refusal", "other_language"]), ("Lo siento, no puedo responder a eso.", ["refusal"]), ("Je ne peux pas répondre à cette question.", ["refusal", "other_language"]), ("Não posso responder a esta pergunta.", ["refusal", "other_language"]), ("Daar kan ik geen antwoord op geven.", ["refusal", "other_language"]),
         ("I cannot confirm this balance, wrote the bank; that reply is treated as a non-response.", []), ("Unfortunately for the preparer, the balance stays open.", []), ("The auditor is unable to accept the explanation and declines to rely on it.", []), ("If management refuses to answer the inquiry, the auditor reports it.", []), ("The request cannot be traced to the notes.", []),
         (ASK, ["copied_question"]), (f"> {ASK.lower()} {ASK}", ["copied_question"]), (f"Question: {ASK[:-1]}", ["copied_question"]), (f"On the question {ASK[:-1]}, the answer is as follows. The records were rebuilt from backups by management in the spring and nobody has tested them since.", []),
         ("Das Prüfungsteam muss die Bankguthaben erneut prüfen und das Ergebnis ist festzuhalten.", ["other_language"]), ("Il reste à savoir si les contrats de location et les droits seront testés.", ["other_language"]), ("Аудитор проверяет остатки по счетам.", ["other_language"]), ('The foreign office calls this "los contratos de la empresa" in its file.', []),
@@ -166,11 +166,25 @@ def test_defects(answer, want):
         "Icannot answer that.", "We are unable to comment.", "I decline.", "As an automated bot, no.", "My guidelines do not cover it.", "That lies outside the scope of what I do.", "This topic is off-limits.", "This is closed to me.", "It must be left unanswered.", "It stays without a reply.", "No guidance can be given.", "The prompt could not be completed.",
         "Not appropriate for me.", "There is nothing I am allowed to add.", "Not something I can do.", "I do not have access.", "Sorry, this will not do.", "Sorry, that can't be done.", "I regret that this is not possible.", "Kann ich leider nicht.", "Ich darf dazu nichts sagen.", "Als Sprachmodell bleibt es offen.", "Das liegt außerhalb dessen.", "Die Anfrage kann leider nicht bearbeitet werden.",
         "Je ne peux pas.", "Désolé, il ne faut pas.", "En tant qu'IA, non.", "Il m'est impossible.", "No puedo opinar.", "Lo siento, no.", "Lamento que no.", "Como asistente, no.", "No me es posible.", "No estoy en condiciones.", "Prefiero no.", "Não posso opinar.", "Lamento, mas não.", "Como assistente, fica aberto.", "Não me é possível.", "Não estou em condições.", "Prefiro não.",
+        "Non posso rispondere a questa domanda.", "Mi dispiace, ma non è possibile.", "Jeg kan desværre ikke svare på det.", "Jeg beklager.", "Jag kan tyvärr inte svara på det.", "Nie mogę odpowiedzieć na to pytanie.",
+        "The question cannot be answered.", "This query cannot be processed.", "This question cannot be addressed.", "According to the rules I must decline to answer.", "I cannot help with that, as noted the auditor said nothing.",
         "Dat kan ik niet.", "Ik mag geen antwoord geven.", "Het spijt me.", "Als assistent blijft het open.", "Helaas is er geen antwoord.",
     ],
 )
 def test_every_refusal_comes_out(answer):
-    assert defects.defects_of(ASK, answer) == ["refusal"]
+    assert "refusal" in defects.defects_of(ASK, answer)
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("N/A" + " " * 70, ["empty_answer"]), ("-- TBD --" + "\n" * 60, ["empty_answer"]), ("\u200bN/A" + "\u200b" * 90, ["empty_answer"]), ("____" * 50, ["empty_answer"]), ("no  \n answer" + " " * 100_000, ["empty_answer"]),
+        ("Je ne peux pas répondre à la question et je ne suis pas", ["refusal", "other_language", "truncated_answer"]), ("I cannot answer the question because the", ["refusal", "truncated_answer"]), (ASK.rstrip("?"), ["copied_question"]), ("The bank replied that we cannot comment on this.", []),
+        (" is cannot" * 30_000, ["truncated_answer"]), ("“" * 100_000, ["empty_answer"]), (" " * 200_000 + "The team tests it.", []), ("AS 1234.05, " * 20_000, []),
+    ],
+)
+def test_every_defect_comes_out_whatever_the_length(answer, want):
+    assert defects.defects_of(ASK, answer) == want
 
 
 def test_defects_follow_the_language_of_the_question():

@@ -1,9 +1,8 @@
 """Problem 5: broken prompt and response pairs, by ordered rules over whole texts.
 
 The rules, in their order: nothing said; a refusal; the question given back; another script or language than the
-question's; a text that breaks off (unclosed delimiters, abrupt endings). Every rule that holds emits its defect, except
-that an empty answer has no other, and that a refusal or a copied question is complete in itself: what it is written in
-or how it ends says nothing more.
+question's; a text that breaks off (unclosed delimiters, abrupt endings). Every rule that holds emits its defect; an empty
+answer leaves nothing for the others to judge, and a question given back to its last word has not broken off.
 """
 
 from __future__ import annotations
@@ -37,37 +36,49 @@ LANGUAGES = {
     "pt": "o a os as um uma uns umas de do da dos das e ou nao e sao foi sera ao aos com para por sobre em no na nos nas que quem qual este esta estes estas se seu sua seus suas quando porque mas mais como onde deve devem ha depois antes outra vez pelo pela ja muito dois duas foram",
     "nl": "de het een en of niet is zijn was werd wordt worden aan met voor door op in van naar bij uit over onder dat die deze dit hij zij wij ik u als wanneer omdat maar meer er nog ook moet moeten heeft hebben kan geen om te tot pas daarna alleen wat hoe welke",
 }
+# The same of languages in which answers, but not the pages of the corpus, may be written.
+OTHERS = {
+    "it": "il lo gli uno una di del della dei delle dello che non con per sono era sara nel nella sul sulla questo questa quale come quando perche anche piu dal dalla deve devono essere stato stata viene si ma",
+    "da": "og det den der til af ikke er var har vil med fra som ved ogsa hvis hvad hvor nar fordi skal kan bliver blev efter eller denne dette disse jeg vi sig et en",
+    "sv": "och det den som till av inte ar var har vill med fran vid ocksa om vad hur nar eftersom ska kan blir blev efter eller denna detta dessa jag vi sig ett en",
+    "pl": "i nie jest sie na do ze to w z o jak ale przez dla po od czy tylko lub oraz ktory ktora ktore byl byla bylo jego jej ich moze musi",
+}
 _languages: dict[str, tuple[str, ...]] = {}
-for _name, _listed in LANGUAGES.items():
+for _name, _listed in {**LANGUAGES, **OTHERS}.items():
     for _word in _listed.split():
         _languages[_word] = (*_languages.get(_word, ()), _name)
 
 # What declining to answer sounds like, per sentence, in folded text. Subjects outside the assistant
-# (a bank, an auditor, a preparer) don't refuse the question.
+# (a bank, an auditor, a preparer) don't refuse the question. The parts of a refusal lie within 200 signs of each other.
 _CANNOT = r"(?:can ?not|can'?t|could not|couldn'?t|am unable|'m unable|am not able|'m not able|are unable|are not able|will not|won'?t|would not|must decline|decline|have to decline|refuse|would rather not|'d rather not|prefer not|do not wish|am not permitted|'m not permitted|am not allowed|'m not allowed|may not|am not in a position|'m not in a position|do not feel comfortable|don'?t feel comfortable|have to pass|must pass|have no view|have no opinion|have no comment|am not authori[sz]ed|do not let me|don'?t let me|does not let me)"
 _SAY = r"(?:answer|answering|help|assist|comment|discuss|respond|reply|provide|give|giving|say|advise|offer|complete|fulfil|fulfill|address|share|tell|guidance|advice|question|request|view|opinion|conclusion|that|this)"
 REFUSALS = [
     rf"\b(?:i|we)(?: \w+){{0,2}} ?{_CANNOT}(?: \S+){{0,6}}? ?\b{_SAY}\b",
     rf"\bi ?{_CANNOT}\s*[.!]?$",
     r"\bas an? (?:\w+ )?(?:assistant|helper|model|ai|language model|chatbot|bot)\b",
-    r"\bmy (?:instructions|guidelines|rules|policy|policies|role|training|programming)\b.*\b(?:not|beyond|outside|forbid|prevent|prohibit)",
-    r"\b(?:go|goes|going|be|is|lies|falls)\b.*\b(?:beyond|outside|out of) (?:my|what i|the scope of what i)\b",
-    r"\b(?:topic|subject|question|matter|this|that)\b.*\b(?:is|are) off[- ]limits\b",
+    r"\bmy (?:instructions|guidelines|rules|policy|policies|role|training|programming)\b.{0,200}\b(?:not|beyond|outside|forbid|prevent|prohibit)",
+    r"\b(?:go|goes|going|be|is|lies|falls)\b.{0,200}\b(?:beyond|outside|out of) (?:my|what i|the scope of what i)\b",
+    r"\b(?:topic|subject|question|matter|this|that)\b.{0,200}\b(?:is|are) off[- ]limits\b",
     r"\bclosed to me\b|\b(?:stays?|remains?|go(?:es)?|be left|leave (?:the|this|your) question|left) (?:without an? (?:reply|answer|response)|unanswered)\b",
     r"\bno (?:response|answer|reply|guidance|comment|opinion) (?:can|could|will|is|may) (?:\w+ )?(?:be )?(?:offered|given|provided|made|possible|available)\b",
     r"\b(?:request|prompt|question|query) (?:can ?not|can'?t|could not|will not|may not) be (?:completed|answered|fulfilled|processed|handled|served|addressed)\b",
     r"\bnot (?:be )?appropriate for me\b|\bnothing i am (?:permitted|allowed|able|free) to\b|\bnot something i can\b|\bi (?:do not|don'?t) have access\b|\bnot in a position to (?:give|answer|say|comment|advise)\b",
-    r"\b(?:i'?m|i am|we are|we'?re)? ?(?:so |very )?sorry,? (?:but|-)? ?(?:i|we|this|that)\b.*\b(?:not|can'?t|cannot|unable|won'?t)\b",
-    r"\bi (?:apologi[sz]e|regret)\b.*\b(?:not|can'?t|cannot|unable|pass|decline|won'?t)\b",
-    r"\b(?:kann|darf|mochte|werde|muss) (?:ich|wir)\b.*\b(?:nicht|nichts|keine|keinen|ablehnen)\b|\bich (?:kann|darf|mochte|werde|muss|bin)\b.*\b(?:nicht|nichts|keine|keinen|ausserstande|ablehnen)\b|\bals (?:assistent|assistentin|sprachmodell|ki)\b|\bliegt ausserhalb (?:meiner|dessen)\b|\b(?:frage|anfrage)\b.*\b(?:kann|darf)\b.*\b(?:nicht|leider)\b.*\b(?:beantwort|bearbeit)",
-    r"\bje (?:ne|n')\b.*\b(?:peux|puis|suis|souhaite|dois|saurais|veux)\b.*\b(?:pas|refuser|repondre|aider)\b|\bje (?:regrette|suis desole|dois refuser|prefere ne pas)\b|\bdesole\b.*\bne\b.*\bpas\b|\ben tant qu'(?:assistant|ia|intelligence)\b|\bil m'est impossible\b",
-    r"\bno puedo\b.*\b(?:responder|ayudar|contestar|dar|opinar|comentar|decir|ofrecer)\b|\blo siento\b.*\bno\b|\blamento\b.*\bno\b|\bcomo asistente\b|\bno me es posible\b|\bno estoy (?:autorizado|autorizada|en condiciones)\b|\bprefiero no\b",
-    r"\bnao posso\b.*\b(?:responder|ajudar|dar|opinar|comentar|dizer|fornecer)\b|\b(?:desculpe|lamento)\b.*\bnao\b|\bcomo assistente\b|\bnao me e possivel\b|\bnao estou (?:autorizado|autorizada|em condicoes)\b|\bprefiro nao\b",
-    r"\b(?:kan|mag|wil|zal) ik\b.*\b(?:niet|geen|niets)\b|\bik (?:kan|mag|wil|zal|moet)\b.*\b(?:niet|geen|niets|weigeren)\b.*\b(?:antwoord|beantwoord|help|zeggen|ingaan|geven|uitspraak|reager)|\bhet spijt me\b|\bals assistent\b|\bhelaas\b.*\b(?:niet|geen)\b.*\b(?:antwoord|beantwoord|help)",
+    r"\b(?:i'?m|i am|we are|we'?re)? ?(?:so |very )?sorry,? (?:but|-)? ?(?:i|we|this|that)\b.{0,200}\b(?:not|can'?t|cannot|unable|won'?t)\b",
+    r"\bi (?:apologi[sz]e|regret)\b.{0,200}\b(?:not|can'?t|cannot|unable|pass|decline|won'?t)\b",
+    r"\b(?:kann|darf|mochte|werde|muss) (?:ich|wir)\b.{0,200}\b(?:nicht|nichts|keine|keinen|ablehnen)\b|\bich (?:kann|darf|mochte|werde|muss|bin)\b.{0,200}\b(?:nicht|nichts|keine|keinen|ausserstande|ablehnen)\b|\bals (?:assistent|assistentin|sprachmodell|ki)\b|\bliegt ausserhalb (?:meiner|dessen)\b|\b(?:frage|anfrage)\b.{0,200}\b(?:kann|darf)\b.{0,200}\b(?:nicht|leider)\b.{0,200}\b(?:beantwort|bearbeit)",
+    r"\bje (?:ne|n')\b.{0,200}\b(?:peux|puis|suis|souhaite|dois|saurais|veux)\b.{0,200}\b(?:pas|refuser|repondre|aider)\b|\bje (?:regrette|suis desole|dois refuser|prefere ne pas)\b|\bdesole\b.{0,200}\bne\b.{0,200}\bpas\b|\ben tant qu'(?:assistant|ia|intelligence)\b|\bil m'est impossible\b",
+    r"\bno puedo\b.{0,200}\b(?:responder|ayudar|contestar|dar|opinar|comentar|decir|ofrecer)\b|\blo siento\b.{0,200}\bno\b|\blamento\b.{0,200}\bno\b|\bcomo asistente\b|\bno me es posible\b|\bno estoy (?:autorizado|autorizada|en condiciones)\b|\bprefiero no\b",
+    r"\bnao posso\b.{0,200}\b(?:responder|ajudar|dar|opinar|comentar|dizer|fornecer)\b|\b(?:desculpe|lamento)\b.{0,200}\bnao\b|\bcomo assistente\b|\bnao me e possivel\b|\bnao estou (?:autorizado|autorizada|em condicoes)\b|\bprefiro nao\b",
+    r"\bnon (?:posso|possiamo|sono in grado|mi e possibile)\b.{0,200}\b(?:rispondere|aiutar\w*|fornire|dare|commentare|dire|esprimer\w*)\b|\bmi dispiace\b.{0,200}\bnon\b|\bcome assistente\b|\bpreferisco non\b",
+    r"\bjeg (?:kan|ma|vil|onsker)\b.{0,200}\b(?:ikke|afsla)\b|\bjeg (?:beklager|er ked af)\b|\bbeklager\b.{0,200}\bikke\b|\bjag (?:kan|far|vill)\b.{0,200}\b(?:inte|avbojer)\b|\bjag beklagar\b|\bsom assistent\b",
+    r"\bnie (?:moge|mozemy|jestem w stanie)\b.{0,200}\b(?:odpowiedziec|pomoc|udzielic|komentowac|podac)\b|\bprzykro mi\b|\bprzepraszam\b.{0,200}\bnie\b|\bjako asystent\b",
+    r"\b(?:kan|mag|wil|zal) ik\b.{0,200}\b(?:niet|geen|niets)\b|\bik (?:kan|mag|wil|zal|moet)\b.{0,200}\b(?:niet|geen|niets|weigeren)\b.{0,200}\b(?:antwoord|beantwoord|help|zeggen|ingaan|geven|uitspraak|reager)|\bhet spijt me\b|\bals assistent\b|\bhelaas\b.{0,200}\b(?:niet|geen)\b.{0,200}\b(?:antwoord|beantwoord|help)",
 ]
 _refusal = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
-#: What others say they can't, in reported speech, is part of an answer.
-_reported = re.compile(r"\b(?:wrote|writes|said|says|answered|replied|noted|stated|according to) (?:the|a|an|its|their|management)\b|\b(?:the|a|an) [\w -]{3,40} (?:said|says|wrote|writes|noted|replied)\b")
+#: What others say they can't is part of an answer: what stands before ", wrote the bank", and what stands after "the bank
+#: replied that". Only the reported words are set aside, not the rest of their sentence.
+_say = r"(?:wrote|writes|said|says|answered|replied|noted|notes|stated|states)"
+_reported = re.compile(rf"^.*[,\"”»] ?{_say} (?:the|a|an|its|their|management)\b|\b(?:the|a|an) [\w-]+(?: [\w-]+){{0,2}} {_say} that\b.*$", re.DOTALL)
 
 # Lead-ins before a question that is given back.
 _leads = re.compile(r"^(?:[>\s*#\"'“”«»:-]|question\b|answer\b|q\b|a\b|you asked\b|you ask\b|the question (?:is|was|reads)\b|your question (?:is|was)\b|asked\b|frage\b|antwort\b|die frage (?:ist|lautet)\b|sie fragen\b|la question est\b|la pregunta es\b|pregunta\b|pergunta\b|a pergunta e\b|vraag\b|de vraag is\b|prompt\b|re\b)+")
@@ -75,8 +86,12 @@ _leads = re.compile(r"^(?:[>\s*#\"'“”«»:-]|question\b|answer\b|q\b|a\b|you
 # Abbreviations that a sentence doesn't end with.
 _abbreviated = re.compile(r"(?:^|[\s(])(?:no|nos|nr|nrs|num|e\.g|i\.e|eg|ie|para|paras|par|cf|approx|ca|art|arts|sec|secs|fig|figs|vs|viz|resp|incl|abs|ziff|bzw|z\.b|d\.h|u\.a|vgl|p\.ex|p\.ej|pag|pags|bijv|mr|mrs|ms|dr|st|see|cf\. para)\.$", re.IGNORECASE)
 _cut_word = re.compile(r"\b(?:the|an|and|or|of|whether|because|und|oder|dass|le|les|et|ou|el|los|y|het|een|en|os)\.$", re.IGNORECASE)
-_citation = re.compile(r"^\W*(?:see|under|per|cf\.?|siehe|voir|vease|zie|ver)?\W*(?:(?:paragraphs?|paras?\.?|absatz|ziffer|section|sections)\s*)?(?:(?:as|a\.s\.)?[\s_-]*\d{4}(?:\.\w{1,4})?|\.?\d{1,3}[a-z]?|as|of|and|or|und|et|y|e|en|,|;|&|paragraphs?|to|its|notes?|with|\(|\)|\s)+\W*$", re.IGNORECASE)
+# The words of a bare citation, beside its numbers and labels.
+_CITING = frozenset("see under per cf siehe voir vease zie ver as a s paragraph paragraphs para paras absatz ziffer section sections of and or und et y e en to its note notes with".split())
+_label = re.compile(r"(?:as)?\d{1,4}[a-z]?|[a-z]\d{1,3}", re.IGNORECASE)
 _marker = re.compile(r"\((?:[a-z]|[ivx]{1,4}|\d{1,2})\)$", re.IGNORECASE)
+_spoken = re.compile(r"[^\W_]")
+_controls = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _closing = "\"'”’»)]}*_"
 _pairs = (("(", ")"), ("[", "]"), ("{", "}"), ("“", "”"), ("«", "»"))
 
@@ -93,16 +108,20 @@ def is_empty(answer: str | None) -> bool:
     """Nothing but white space, signs or a placeholder."""
     if answer is None:
         return True
-    if len(answer) > 60:
-        return not answer[0].isalnum() and not any(c.isalnum() for c in answer)
-    plain = folded("".join(c for c in answer if unicodedata.category(c) not in ("Cf", "Cc") or c in "\t\n "))
-    said = re.sub(r"^[^\w]+|[^\w]+$", "", plain)
-    return not any(c.isalnum() for c in said) or said in PLACEHOLDERS
+    if not answer.isascii():
+        answer = "".join(c for c in answer if unicodedata.category(c) not in ("Cf", "Cc") or c in "\t\n ")
+    elif not answer.isprintable():
+        answer = _controls.sub("", answer)
+    first = _spoken.search(answer)
+    if first is None:
+        return True
+    last = len(answer) - _spoken.search(answer[::-1]).start()
+    return folded(answer[first.start() : last]) in PLACEHOLDERS
 
 
 def is_refusal(bare: str) -> bool:
-    """Some sentence declines; reported speech aside. ``bare`` is folded text without accents."""
-    return any(_refusal.search(s) and not _reported.search(s) for s in re.split(r"(?<=[.!?;])\s+", bare))
+    """Some sentence declines, its reported speech aside. ``bare`` is folded text without accents."""
+    return any(_refusal.search(s) and _refusal.search(_reported.sub(" ", s)) for s in re.split(r"(?<=[.!?;])\s+", bare))
 
 
 def is_copied(question: list[str], answer: str, said: list[str]) -> bool:
@@ -138,7 +157,7 @@ def script(text: str) -> str:
     return counts.most_common(1)[0][0] if counts else "LATIN"
 
 
-_quoted = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»")
+_quoted = re.compile(r"\"[^\"]*\"|“[^“”]*”|«[^«»]*»")
 
 
 def is_foreign(question: str, answer: str, asked: list[str], said: list[str]) -> bool:
@@ -158,10 +177,16 @@ def is_foreign(question: str, answer: str, asked: list[str], said: list[str]) ->
     return other != language and most >= 3 and best >= 3 and best >= 1.6 * given[language]
 
 
+def is_citation(text: str) -> bool:
+    """Numbers and labels, and nothing else but what joins them."""
+    said = re.findall(r"[^\W_]+", text)
+    return any(c.isdigit() for c in text) and all(w.casefold() in _CITING or _label.fullmatch(w) for w in said)
+
+
 def is_truncated(answer: str) -> bool:
     """The text breaks off: an unclosed delimiter, or an ending that isn't a sentence's."""
     text = answer.rstrip()
-    if _citation.match(text):
+    if is_citation(text):
         return False
     if any(text.count(a) > text.count(b) for a, b in _pairs) or text.count('"') % 2:
         return True
@@ -178,21 +203,20 @@ def is_truncated(answer: str) -> bool:
 
 
 def defects_of(question: str, answer: str | None) -> list[str]:
-    """The defects of a pair, in the rules' order."""
+    """All defects of a pair, in the rules' order."""
     if is_empty(answer):
         return ["empty_answer"]
     bare = _bare(answer)
     said, asked = cut(bare), cut(_bare(question))
-    if is_refusal(bare):
-        return ["refusal"]
-    if is_copied(asked, bare, said):
-        return ["copied_question"]
-    out = []
-    if is_foreign(question, answer, asked, said):
-        out.append("other_language")
-    if is_truncated(answer):
-        out.append("truncated_answer")
-    return out
+    copied = is_copied(asked, bare, said)
+    ends_alike = copied and said[-1:] == asked[-1:]
+    rules = (
+        ("refusal", is_refusal(bare)),
+        ("copied_question", copied),
+        ("other_language", is_foreign(question, answer, asked, said)),
+        ("truncated_answer", not ends_alike and is_truncated(answer)),
+    )
+    return [name for name, holds in rules if holds]
 
 
 def found(candidates: DataFrame) -> DataFrame:
