@@ -139,6 +139,36 @@ def test_sample(spark):
     assert sampling.found(d, t, former).count() == 0
 
 
+def test_overlapping_categories_share_their_decisions(spark):
+    """All decisions are in both categories: each still gets what it asks for; asking for more than there is is reported."""
+    decisions = [(f"c{i}", "AS 1001", ["x", "y"], ("definition",)) for i in range(100)]
+    targets = [(1, 1, None, None, "x", 0.5, 10, 0.5), (2, 1, None, None, "y", 0.5, 10, 0.5), (3, 2, None, None, "x", 0.5, 80, 1.0), (4, 2, None, None, "y", 0.5, 60, 1.0)]
+    d, t, former = sampled(spark, decisions, targets)
+    sample = sampling.Sample(d, t, former)
+    report = {r["target_id"]: r for r in sample.report().collect()}
+    assert report[1]["quota"] == report[2]["quota"] == 25 and not any(report[i]["short"] or report[i]["unmet"] for i in (1, 2))
+    assert report[3]["quota"] + report[4]["quota"] == 100 and report[3]["unmet"] | report[4]["unmet"] and not report[3]["short"]
+    plans = {r["plan_id"]: r for r in sample.plans().collect()}
+    assert (plans[1]["wanted"], plans[1]["reached"], plans[1]["unmet"]) == (50, 50, 0) and (plans[2]["reached"], plans[2]["unmet"]) == (100, 1 + (report[3]["unmet"] and report[4]["unmet"]))
+    got = sample.rows().toPandas()
+    assert not got.duplicated(["plan_id", "candidate_id"]).any() and got.groupby("target_id").size().to_dict() == {k: r["quota"] for k, r in report.items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.tuples(st.sampled_from("ab"), st.frozensets(st.integers(0, 4), min_size=1).map(lambda s: tuple(sorted(s)))), st.integers(1, 30), max_size=12), st.lists(st.floats(0, 40), min_size=5, max_size=5))
+def test_sharing_out_gives_as_much_as_can_be_given(supply, amounts):
+    asked = dict(enumerate(amounts))
+    got = sampling.shared_out(supply, asked)
+    per = lambda i: {k: sum(n for key, n in got.items() if key[i] == k) for k in {key[i] for key in got}}
+    assert all(n <= supply[k] + 1e-6 for k, n in per(1).items()) and all(n <= asked[t] + 1e-6 for t, n in per(0).items())
+    # The most that can be given, by the smallest cut: of each set of categories, what they ask or what their kinds have.
+    most = min(sum(asked[t] for t in asked if not cut >> t & 1) + sum(n for k, n in supply.items() if any(cut >> t & 1 for t in k[-1])) for cut in range(32))
+    assert abs(sum(got.values()) - most) < 1e-6
+    whole = sampling.rounded({(t, k[0], k[1]): n for (t, k), n in got.items()}, supply)
+    for k, n in supply.items():
+        assert sum(q for (_, *kind), q in whole.items() if tuple(kind) == k) <= n
+
+
 ASK = "Which duties over aged credit notes fall to the lead auditor at Foo Bar Mills (file A1, entry 22)?"
 
 

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _of(components.found, "duplicates"),
     "p3_found": _of(sampling.found, "decisions", "sample_targets", "former_labels"),
     "p3_report": _of(lambda d, t, f: sampling.Sample(d, t, f).report(), "decisions", "sample_targets", "former_labels"),
+    "p3_plans": _of(lambda d, t, f: sampling.Sample(d, t, f).plans(), "decisions", "sample_targets", "former_labels"),
     "p3_sample": _of(lambda d, t, f: sampling.Sample(d, t, f).rows(), "decisions", "sample_targets", "former_labels"),
     "p4_found": _of(neardup.found, "candidates"),
     "p4_groups": _of(neardup.groups, "candidates"),

@@ -1,11 +1,14 @@
 """Problem 3: samples that match target proportions, by controlled rounding and random-key quotas.
 
-The quotas of a plan form a two-way table: its categories by a second trait (the task type, or the standard's series
-where the categories already fix the task type), so that a category's sample also keeps its inner make-up. The table is
-fractional; a maximum flow rounds every cell, row and column sum and the total to a neighbouring integer. Each cell then
-takes exactly its quota of decisions, those of the smallest random keys.
+A decision may be in several categories of a plan. Decisions are counted by kind, that is by plan, the categories they are
+in and a second trait (the task type, or the standard's series where the targets fix the task type). The wanted amounts
+are spread over the kinds, the scarcest category first and in proportion to what is left; what that leaves wanting is
+found along augmenting paths, which hand decisions on from category to category, so that a category goes short only if no
+division of the decisions could serve it. The amounts form a fractional two-way table of categories by trait; a maximum
+flow rounds every cell, row and column sum and the total to a neighbouring integer and stays within each kind's supply.
+The decisions of a kind, in the order of random keys, then fill the kind's quotas one after the other.
 
-Only counts by cell come to the driver, and their number depends on the targets alone.
+Only counts by kind come to the driver, and their number depends on the targets alone.
 """
 
 from __future__ import annotations
@@ -75,16 +78,23 @@ class _Flow:
             need -= n
 
 
-def rounded(table: dict[tuple, float]) -> dict[tuple, int]:
-    """{(row, column): quota} -> integers, each cell, row sum, column sum and the total next to its own fraction; the
-    total is the nearest integer. Such a table always exists, since the fractions themselves are a flow."""
+def rounded(table: dict[tuple, float], supply: dict | None = None) -> dict[tuple, int]:
+    """{(row, column) or (row, column, kind): quota} -> integers: each entry, cell, row sum, column sum and the total next to
+    its own fraction, the total the nearest integer, and no kind of a column above its supply, {(column, kind): n}. Such
+    a table always exists, since the fractions themselves are a flow."""
     near = lambda x: (floor(x + 1e-9), ceil(x - 1e-9))
-    rows, columns = defaultdict(float), defaultdict(float)
-    flow = _Flow()
-    for (i, j), x in table.items():
+    rows, columns, cells, flow = defaultdict(float), defaultdict(float), defaultdict(float), _Flow()
+    supply = supply or {}
+    entries = {key: (("cell", key[0], key[1]), ("kind", *key[1:])) for key in table}
+    for (i, j, *kind), x in table.items():
         rows[i] += x
         columns[j] += x
-        flow.edge(("row", i), ("column", j), *near(x))
+        cells[i, j] += x
+        flow.edge(*entries[i, j, *kind], *near(x))
+    for (i, j), x in cells.items():
+        flow.edge(("row", i), ("cell", i, j), *near(x))
+    for kind in {k for _, k in entries.values()}:
+        flow.edge(kind, ("column", kind[1]), 0, supply.get(kind[1:], 1 << 62))
     for i, x in rows.items():
         flow.edge("source", ("row", i), *near(x))
     for j, x in columns.items():
@@ -95,7 +105,61 @@ def rounded(table: dict[tuple, float]) -> dict[tuple, int]:
     flow.edge("sink", "source", aim, aim)
     if not flow.solve():
         raise ValueError("no controlled rounding")
-    return {(i, j): high - flow.room[("row", i)][("column", j)] for (i, j), x in table.items() for high in (near(x)[1],)}
+    return {key: high - flow.room[a][b] for key, (a, b) in entries.items() for high in (near(table[key])[1],)}
+
+
+def shared_out(supply: dict, asked: dict[int, float]) -> dict[tuple, float]:
+    """supply {kind: n}, a kind ending in the tuple of the categories that may take from it, and asked {category: amount} ->
+    {(category, kind): amount}. No kind gives more than it has, and all categories together get as much as any division
+    could give them."""
+    has = defaultdict(list)
+    for kind in supply:
+        for target in kind[-1]:
+            has[target].append(kind)
+    left, out, missing = {k: float(n) for k, n in supply.items()}, defaultdict(float), {}
+    plenty = {t: sum(supply[k] for k in has[t]) / max(asked[t], 1e-9) for t in asked}
+    for target in sorted(asked, key=lambda t: (plenty[t], t)):
+        free = sum(left[k] for k in has[target])
+        take = min(asked[target], free)
+        for kind in has[target] if free > 0 else ():
+            given = min(left[kind], take * left[kind] / free)
+            out[target, kind] += given
+            left[kind] -= given
+        missing[target] = asked[target] - take
+    for target in sorted(asked):
+        while missing[target] > 1e-9:
+            came, queue, end = {}, deque([target]), None
+            seen = {target}
+            while queue and end is None:
+                taker = queue.popleft()
+                for kind in has[taker]:
+                    if kind in came:
+                        continue
+                    came[kind] = taker
+                    if left[kind] > 1e-9:
+                        end = kind
+                        break
+                    for giver in kind[-1]:
+                        if giver not in seen and out[giver, kind] > 1e-9:
+                            seen.add(giver)
+                            came["from", giver] = kind
+                            queue.append(giver)
+            if end is None:
+                break
+            steps, kind, n = [], end, min(missing[target], left[end])
+            while True:
+                taker = came[kind]
+                steps.append((taker, kind, 1))
+                if taker == target:
+                    break
+                kind = came["from", taker]
+                steps.append((taker, kind, -1))
+                n = min(n, out[taker, kind])
+            for taker, kind, sign in steps:
+                out[taker, kind] += sign * n
+            left[end] -= n
+            missing[target] -= n
+    return {key: n for key, n in out.items() if n > 1e-9}
 
 
 class Sample:
@@ -111,7 +175,6 @@ class Sample:
         self.facts = self.staging.put(self._facts(decisions, former))
         self.total = self.facts.select("id").distinct().count()
         self.members = self.staging.put(self._members(wanted.schema))
-        self.available = {r["target_id"]: r["n"] for r in self.members.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).collect()}
         self._quotas()
 
     def _facts(self, decisions: DataFrame, former: DataFrame) -> DataFrame:
@@ -127,7 +190,7 @@ class Sample:
         return rows.select("id", F.coalesce(named_number(F.col("said")), "was").alias("standard"), "task", "reasons")
 
     def _members(self, schema: object) -> DataFrame:
-        """(id, target_id, plan_id, task, standard), a row for each decision and category it is in."""
+        """(id, plan_id, targets, trait), a row for each decision and plan with the categories that it is in."""
         shapes = defaultdict(list)
         for t in self.targets:
             shapes[tuple(c for c in ("standard", "task", "reason") if t[c] is not None)].append(t)
@@ -142,64 +205,88 @@ class Sample:
             rows = rows.select("id", "target_id", "plan_id", "task", "standard")
             out = rows if out is None else out.unionByName(rows)
         if out is None:
-            return self.spark.createDataFrame([], "id string, target_id int, plan_id int, task string, standard string")
-        return out.groupBy("id", "target_id", "plan_id").agg(F.min("task").alias("task"), F.min("standard").alias("standard"))
+            return self.spark.createDataFrame([], "id string, plan_id int, targets array<int>, trait string")
+        by_task = sorted({t["plan_id"] for t in self.targets if t["task"] is None and t["plan_id"] is not None})
+        each = out.groupBy("id", "plan_id").agg(F.array_sort(F.collect_set("target_id")).alias("targets"), F.min("task").alias("task"), F.min("standard").alias("standard"))
+        task = F.when(F.col("task").isin(*TASKS, MALFORMED), F.col("task")).otherwise("other")
+        series = F.coalesce(F.substring("standard", 4, 1), F.lit("none"))
+        return each.select("id", "plan_id", "targets", F.when(F.col("plan_id").isin(by_task), task).otherwise(series).alias("trait"))
 
     def needed(self, t: object) -> float:
         return t["share"] * t["fraction"] * self.total
 
     def is_short(self, t: object) -> bool:
-        have = self.available.get(t["target_id"], 0)
+        have = self.available[t["target_id"]]
         return have < t["least"] or have < self.needed(t)
 
     def _quotas(self) -> None:
-        """One category a decision and plan (of several, the one with the least supply for its need), the cells' counts,
-        and their quotas."""
-        plans = defaultdict(list)
+        """The kinds with their counts, and how many decisions each category takes of each."""
+        rows = self.members.groupBy("plan_id", "targets", "trait").agg(F.count(F.lit(1)).alias("n")).orderBy("plan_id", "targets", "trait").collect()
+        kinds = {(r["plan_id"], r["trait"], tuple(r["targets"])): r["n"] for r in rows}
+        self.available: dict[int, int] = defaultdict(int)
+        for (_, _, listed), n in kinds.items():
+            for target in listed:
+                self.available[target] += n
+        asked = defaultdict(dict)
         for t in self.targets:
-            plans[t["plan_id"]].append(t)
-        by_task = {p: any(t["task"] is None for t in some) for p, some in plans.items()}
-        scarce = sorted(self.targets, key=lambda t: (self.available.get(t["target_id"], 0) / max(self.needed(t), t["least"], 1e-9), t["target_id"]))
-        ranks = self.spark.createDataFrame([(t["target_id"], i, by_task[t["plan_id"]]) for i, t in enumerate(scarce)], "target_id int, rank int, by_task boolean")
-        series = F.coalesce(F.substring("standard", 4, 1), F.lit("none"))
-        task = F.when(F.col("task").isin(*TASKS, MALFORMED), F.col("task")).otherwise("other")
-        ranked = self.members.join(F.broadcast(ranks), "target_id").select("id", "plan_id", F.struct("rank", "target_id", F.when(F.col("by_task"), task).otherwise(series).alias("trait")).alias("x"))
-        chosen = ranked.groupBy("id", "plan_id").agg(F.min("x").alias("x")).select("id", "plan_id", "x.target_id", "x.trait")
-        self.chosen = self.staging.put(chosen)
-        self.cells = {(r["target_id"], r["trait"]): r["n"] for r in self.chosen.groupBy("target_id", "trait").agg(F.count(F.lit(1)).alias("n")).collect()}
-        have = defaultdict(int)
-        for (target, _), n in self.cells.items():
-            have[target] += n
-        self.quota: dict[tuple[int, str], int] = {}
-        for some in plans.values():
-            want = {t["target_id"]: min(have[t["target_id"]], max(t["least"], self.needed(t))) for t in some}
-            self.quota |= rounded({(i, j): want[i] * n / have[i] for (i, j), n in self.cells.items() if i in want})
+            asked[t["plan_id"]][t["target_id"]] = max(float(t["least"]), self.needed(t))
+        self.quota: dict[tuple, int] = {}
+        for plan, wanted in asked.items():
+            supply = {kind: n for kind, n in kinds.items() if kind[0] == plan}
+            amounts = shared_out(supply, wanted)
+            table = {(target, kind[1], kind[2]): n for (target, kind), n in amounts.items()}
+            whole = rounded(table, {(kind[1], kind[2]): n for kind, n in supply.items()}) if table else {}
+            self.quota |= {(target, (plan, trait, listed)): n for (target, trait, listed), n in whole.items() if n > 0}
 
     def report(self) -> DataFrame:
-        """A row a target: what there is, what it asks for, its quota, its share of the plan's sample and whether it is short."""
+        """A row a target: what there is, what it asks for, its quota, its share of the plan's sample; ``short``, whether its
+        own category has too few decisions, and ``unmet``, whether its quota stays below what it asks for, for that or any
+        other reason; what the plan asks for and reaches."""
         given, sizes = defaultdict(int), defaultdict(int)
-        for (target, _), n in self.quota.items():
+        for (target, kind), n in self.quota.items():
             given[target] += n
+            sizes[kind[0]] += n
+        rows = []
         for t in self.targets:
-            sizes[t["plan_id"]] += given[t["target_id"]]
-        rows = [(t["target_id"], t["plan_id"], self.available.get(t["target_id"], 0), float(self.needed(t)), t["least"], given[t["target_id"]], t["share"], given[t["target_id"]] / sizes[t["plan_id"]] if sizes[t["plan_id"]] else 0.0, self.is_short(t)) for t in self.targets]
-        return self.spark.createDataFrame(rows, "target_id int, plan_id int, available bigint, needed double, min_rows int, quota bigint, target_share double, actual_share double, short boolean")
+            target, size = t["target_id"], sizes[t["plan_id"]]
+            unmet = given[target] < floor(max(t["least"], self.needed(t)) + 1e-9)
+            rows.append((target, t["plan_id"], self.available[target], float(self.needed(t)), t["least"], given[target], t["share"], given[target] / size if size else 0.0, self.is_short(t), unmet, float(t["fraction"] * self.total), size))
+        return self.spark.createDataFrame(rows, "target_id int, plan_id int, available bigint, needed double, min_rows int, quota bigint, target_share double, actual_share double, short boolean, unmet boolean, plan_wanted double, plan_reached bigint")
+
+    def plans(self) -> DataFrame:
+        """A row a plan: the size that it wants and reaches, its targets and how many are short or unmet, and how far a
+        target's share of what is reached is off at most."""
+        off = F.abs(F.col("actual_share") - F.col("target_share"))
+        counts = [F.count_if(F.col(c)).alias(c) for c in ("short", "unmet")]
+        return self.report().groupBy("plan_id").agg(F.max("plan_wanted").alias("wanted"), F.max("plan_reached").alias("reached"), F.count(F.lit(1)).alias("targets"), *counts, F.max(off).alias("share_off"))
 
     def rows(self) -> DataFrame:
-        """(plan_id, target_id, candidate_id): in each cell the quota's number of decisions with the smallest keys."""
-        listed = [(i, j, n) for (i, j), n in self.quota.items() if n > 0]
-        quotas = F.broadcast(self.spark.createDataFrame(listed, "target_id int, trait string, quota bigint"))
-        width = (1 << 64) // RANGES
-        keyed = self.chosen.join(quotas, ["target_id", "trait"]).withColumn("key", F.xxhash64(F.lit(self.seed), "plan_id", "id"))
-        keyed = self.staging.put(keyed.withColumn("range", (F.shiftright("key", width.bit_length() - 1) + RANGES // 2).cast("int")))
-        counts = keyed.groupBy("target_id", "trait", "quota", "range").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.coalesce(F.sum("n").over(W.partitionBy("target_id", "trait").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ends = counts.withColumn("before", upto).filter("before < quota").groupBy("target_id", "trait").agg(F.max("range").alias("last"), F.max("before").alias("before"))
-        ended = keyed.join(F.broadcast(ends), ["target_id", "trait"])
-        whole = ended.filter("range < last")
-        part = ended.filter("range = last").withColumn("at", F.row_number().over(W.partitionBy("target_id", "trait").orderBy("key", "id"))).filter("before + at <= quota")
-        picked = [x.select("plan_id", "target_id", F.col("id").alias("candidate_id")) for x in (whole, part)]
-        return picked[0].unionByName(picked[1])
+        """(plan_id, target_id, candidate_id): of each kind, in the order of the random keys, the first for its first
+        category, the next for its second, up to their quotas. Keys are counted by range; only the ranges in which a quota
+        ends are ranked row by row."""
+        parts = defaultdict(list)
+        for (target, kind), n in sorted(self.quota.items()):
+            low = parts[kind][-1][2] if parts[kind] else 0
+            parts[kind].append((target, low, low + n))
+        named = [(i, plan, trait, list(listed)) for i, (plan, trait, listed) in enumerate(parts)]
+        # As many rows as there are kinds and quotas, which the targets bound.
+        kinds = F.broadcast(self.spark.createDataFrame(named, "kind int, plan_id int, trait string, targets array<int>"))
+        ends = self.spark.createDataFrame([(i, *part) for i, kind in enumerate(parts) for part in parts[kind]], "kind int, target int, low bigint, high bigint")
+        key = F.xxhash64(F.lit(self.seed), "plan_id", "id")
+        keyed = self.members.join(kinds, ["plan_id", "trait", "targets"]).select("id", "plan_id", "kind", key.alias("key"))
+        keyed = self.staging.put(keyed.withColumn("range", (F.shiftright("key", ((1 << 64) // RANGES).bit_length() - 1) + RANGES // 2).cast("int")))
+        counts = keyed.groupBy("kind", "range").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.coalesce(F.sum("n").over(W.partitionBy("kind").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        cut = counts.withColumn("before", upto).join(F.broadcast(ends), "kind").filter("before < high and high <= before + n")
+        one = F.struct("high", "low", "target", F.col("range").alias("cut"), "before")
+        cuts = F.broadcast(cut.groupBy("kind").agg(F.array_sort(F.collect_list(one)).alias("parts")))
+        placed = keyed.join(cuts, "kind").withColumn("open", F.filter("parts", lambda s: s["cut"] >= F.col("range"))).filter(F.size("open") > 0)
+        placed = placed.withColumn("ended", F.exists("parts", lambda s: s["cut"] == F.col("range")))
+        whole = placed.filter("not ended").select("plan_id", F.col("open")[0]["target"].alias("target_id"), F.col("id").alias("candidate_id"))
+        place = F.col("open")[0]["before"] + F.row_number().over(W.partitionBy("kind", "range").orderBy("key", "id")) - 1
+        ranked = placed.filter("ended").withColumn("place", place.cast("bigint"))
+        taken = ranked.withColumn("part", F.filter("open", lambda s: (s["low"] <= F.col("place")) & (F.col("place") < s["high"]))).filter(F.size("part") > 0)
+        return whole.unionByName(taken.select("plan_id", F.col("part")[0]["target"].alias("target_id"), F.col("id").alias("candidate_id")))
 
 
 def found(decisions: DataFrame, targets: DataFrame, former: DataFrame) -> DataFrame:
