@@ -2,7 +2,8 @@
 
 Every source is a task whose weight is its share of the mix. Its tokens are cut into blocks; block k may not start
 before floor((k-1)/w) and is due by ceil(k/w), in blocks of the mix. Earliest deadline first over the released blocks
-then interleaves the sources so that no source is ever a whole block ahead of or behind its share.
+then interleaves the sources so that no source is ever a whole block ahead of or behind its share. A document that is
+longer than the rest of its block goes on in the source's next block, so that this holds for tokens, whatever the lengths.
 
 The schedule has a fixed number of blocks whatever the data (their size grows instead), so it is made on the driver and
 broadcast. The documents are placed by running totals of tokens within each source.
@@ -96,7 +97,8 @@ class Mix:
         self.block = max(1, ceil(sum(self.given.values()) / BLOCKS))
 
     def report(self) -> DataFrame:
-        """A row a source: tokens it has, target, cap, tokens given, shares and whether the target was beyond its cap."""
+        """A row a source: tokens it has, target, cap, tokens in the mix, shares and whether the target was beyond its cap.
+        ``rows`` holds exactly these tokens."""
         mixed = sum(self.given.values()) or 1
         out = []
         for key, (share, repeats) in self.targets.items():
@@ -105,8 +107,9 @@ class Mix:
         return self.spark.createDataFrame(out, "source string, target_share double, max_repeats int, source_tokens bigint, mixed_tokens bigint, actual_share double, passes double, short boolean")
 
     def rows(self) -> DataFrame:
-        """(slot, source, pass, doc_id, n_tokens): the mix in blocks; a document lies where its first token does. The
-        document that crosses a source's quota is the last one taken, so a source is over by less than one document."""
+        """(slot, at, source, pass, doc_id, first_token, n_tokens): the mix in blocks, a row for each part of a document that
+        lies in one block. ``at`` is where in its slot a part starts, in tokens, ``first_token`` where in its document. A
+        source's last part ends where its quota does."""
         plan = [(s, k, slot) for s, k, slot in schedule(self.given, self.block)]
         quota = [(k, self.names[k], self.given[k], self.tokens_of.get(k, 0)) for k in self.targets if self.given[k] > 0]
         slots = F.broadcast(self.spark.createDataFrame(plan, "key string, block bigint, slot bigint"))
@@ -115,8 +118,10 @@ class Mix:
         own = own.withColumn("_same", F.monotonically_increasing_id())
         placed = running_total(own, ["_at", "doc_id", "_same"], "n_tokens", "_start", self.staging, within="key")
         passes = placed.join(quotas, "key").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("cast((quota - 1) div has as int)")))))
-        at = passes.withColumn("_from", F.col("pass") * F.col("has") + F.col("_start")).filter("_from < quota")
-        return at.withColumn("block", F.expr(f"_from div {self.block}")).join(slots, ["key", "block"]).select("slot", "source", F.col("pass").cast("int").alias("pass"), "doc_id", "n_tokens")
+        on = passes.withColumn("_from", F.col("pass") * F.col("has") + F.col("_start")).withColumn("_to", F.least(F.col("_from") + F.col("n_tokens"), F.col("quota"))).filter("_from < _to")
+        parts = on.withColumn("block", F.explode(F.expr(f"sequence(_from div {self.block}, (_to - 1) div {self.block})")))
+        low, high = F.greatest(F.col("_from"), F.col("block") * self.block), F.least(F.col("_to"), (F.col("block") + 1) * self.block)
+        return parts.join(slots, ["key", "block"]).select("slot", (low - F.col("block") * self.block).alias("at"), "source", F.col("pass").cast("int").alias("pass"), "doc_id", (low - F.col("_from")).alias("first_token"), (high - low).alias("n_tokens"))
 
 
 def found(documents: DataFrame, targets: DataFrame, directory: str = tokens.TOKENIZERS) -> DataFrame:
