@@ -145,10 +145,10 @@ def test_close_sets_always_share_a_block():
     share = Fraction(7, 10)
     for _ in range(60):
         vocabulary = np.array([random.getrandbits(64) for _ in range(random.choice([12, 40, 90]))], np.uint64)
-        common = np.zeros(neardup.BUCKETS // 64, np.uint64)
-        some = neardup._bucket(vocabulary[: int(len(vocabulary) * random.random())])
+        common = np.zeros(neardup.LEAST_BUCKETS // 64, np.uint64)
+        some = neardup._bucket(vocabulary[: int(len(vocabulary) * random.random())], neardup.LEAST_BUCKETS)
         np.bitwise_or.at(common, (some >> np.uint64(6)).astype(np.int64), np.uint64(1) << (some & np.uint64(63)))
-        split = neardup.Blocks(common, np.full(neardup.BUCKETS // 64, 2**64 - 1, np.uint64), share)
+        split = neardup.Blocks(common, np.full(neardup.LEAST_BUCKETS // 64, 2**64 - 1, np.uint64), share)
         sets = [random.sample(range(len(vocabulary)), random.randint(1, len(vocabulary)))]
         while len(sets) < 25:
             base = set(random.choice(sets))
@@ -158,8 +158,8 @@ def test_close_sets_always_share_a_block():
         column = pa.array([vocabulary[s].view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
         split.of(column)
         poor_keys = split.several(None, only_poor=True)[1]
-        filtered = np.zeros(neardup.BUCKETS // 64, np.uint64)
-        at = neardup._bucket(poor_keys) if len(poor_keys) else np.array([], np.uint64)
+        filtered = np.zeros(neardup.LEAST_BUCKETS // 64, np.uint64)
+        at = neardup._bucket(poor_keys, neardup.LEAST_BUCKETS) if len(poor_keys) else np.array([], np.uint64)
         np.bitwise_or.at(filtered, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         row1, key1 = split.singles()
         row2, key2, side = split.several(filtered)

@@ -12,8 +12,10 @@ A block's key holds what both sides know of the split (r and r', q), so only que
 Pairs that meet are checked by the Hamming distance of 64-bit parity sketches of the fingerprints, which never exceeds
 that of the fingerprints, and then by the fingerprints themselves. Copies of a word set are one class throughout.
 
-Word counts are kept in a fixed number of buckets and reach the workers as two bitmaps of fixed size. A bucket shared by
-several words only makes them look more common, for all questions alike, so no pair is lost by it.
+Word counts are kept in buckets, whose number follows the data up to a bound, and reach the workers as two bitmaps of at
+most 16 MB. A bucket shared by several words only makes them look more common, for all questions alike, so no pair is lost
+by it. Blocks, classes and members that hold a large part of all rows are split: the joins of classes are salted, those of
+blocks are left to the skew handling of adaptive execution, which splits a partition also where it is one key.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from pyspark.sql import functions as F
 
 from vouchline.llm import components
 from vouchline.llm.candidates import as_object, words
+from vouchline.operators.skew import hot_keys, salted_join
 from vouchline.shared import Staging
 
 #: The least share of the words of either question that a pair has in common.
 SHARE = Fraction(7, 10)
 #: A word is rare when at most so many word sets have its bucket; the candidates of a block of one word are bounded by it.
 RARE = 512
-#: Buckets of word counts, and bits of the filter of uncommon splits: 2 MB a bitmap, whatever the data.
-BUCKETS = 1 << 24
+#: Buckets of word counts, and bits of the filter of uncommon splits: a power of two, so many times the words of all sets
+#: and within these bounds. A bitmap has 16 MB at most, whatever the data.
+BUCKETS_A_WORD, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 22, 1 << 27
 #: Numbers of rare words and of blocks are exact up to here and in steps of a tenth beyond; only long sets come so far.
 EXACT = 40
 #: Word hashes that a worker keeps.
@@ -149,45 +153,49 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(column)), sizes)
 
 
-def _bitmaps(hits: DataFrame, *least: int) -> list[np.ndarray]:
-    """hits(bucket, n) -> for each of ``least`` the bitmap of the buckets with at least so many: at most BUCKETS/64 longs
-    of each come to the driver."""
+def buckets_for(sets: DataFrame) -> int:
+    """How many buckets the words of sets(words) need."""
+    total = sets.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (BUCKETS_A_WORD * total).bit_length()))
+
+
+def _bitmaps(hits: DataFrame, buckets: int, *least: int) -> list[np.ndarray]:
+    """hits(bucket, n) -> for each of ``least`` the bitmap of the buckets with at least so many: at most ``buckets``/64
+    longs of each come to the driver."""
     bit = "shiftleft(1L, cast(bucket & 63 as int))"
     cells = hits.groupBy(F.shiftright("bucket", 6).alias("at")).agg(*[F.expr(f"bit_or(if(n >= {x}, {bit}, 0L))").alias(f"bits{i}") for i, x in enumerate(least)]).toPandas()
     out = []
     for i in range(len(least)):
-        bitmap = np.zeros(BUCKETS // 64, np.uint64)
+        bitmap = np.zeros(buckets // 64, np.uint64)
         bitmap[cells["at"].to_numpy(np.int64)] = cells[f"bits{i}"].to_numpy(np.int64).view(np.uint64)
         out.append(bitmap)
     return out
 
 
-def _has(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+def _has(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the buckets of hashes are set in a bitmap."""
+    buckets = _bucket(numbers, 64 * len(bitmap))
     return (bitmap[buckets >> np.uint64(6)] >> (buckets & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _bucket(numbers: np.ndarray) -> np.ndarray:
-    return (numbers ^ (numbers >> np.uint64(32))) % np.uint64(BUCKETS)
+def _bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    return (numbers ^ (numbers >> np.uint64(32))) % np.uint64(buckets)
 
 
 def _sparse_counts(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Buckets, batch after batch -> rows (bucket, n) of one task, counted in one array of fixed size."""
-    counts, seen = np.zeros(BUCKETS, np.int32), False
+    """Buckets, batch after batch -> rows (bucket, n), counted within each batch."""
     for buckets in batches:
-        seen = True
-        np.add.at(counts, buckets.astype(np.int64), 1)
-    if seen:
-        at = np.flatnonzero(counts)
+        at, counts = np.unique(buckets, return_counts=True)
         for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(counts[part].astype(np.int64))], ["bucket", "n"])
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int64)), pa.array(counts[part].astype(np.int64))], ["bucket", "n"])
 
 
-def counted(sets: DataFrame) -> DataFrame:
+def counted(sets: DataFrame, buckets: int) -> DataFrame:
     """sets(words) -> (bucket, n): how many sets have a word in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _sparse_counts(_bucket(_flat(batch.column(0))[0]) for batch in batches)
+        return _sparse_counts(_bucket(_flat(batch.column(0))[0], buckets) for batch in batches)
 
     return sets.select("words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -201,9 +209,8 @@ class Blocks:
     def of(self, column: pa.Array) -> None:
         self.words, self.row = _flat(column)
         self.size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        buckets = _bucket(self.words)
-        self.is_common = _has(self.common, buckets)
-        self.is_shared = _has(self.repeated, buckets) & ~self.is_common
+        self.is_common = _has(self.common, self.words)
+        self.is_shared = _has(self.repeated, self.words) & ~self.is_common
         self.rare = np.bincount(self.row[~self.is_common], minlength=len(self.size))
 
     def singles(self) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +249,7 @@ class Blocks:
                 key = _mixed(sums[place[members]] + salts).reshape(-1)
                 row = np.repeat(members, n)
                 if needs_poor and filtered is not None:
-                    keep = _has(filtered, _bucket(key))
+                    keep = _has(filtered, key)
                     row, key = row[keep], key[keep]
                 rows.append(row)
                 keys.append(key)
@@ -261,7 +268,8 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
     """sets(cid: bigint, words) -> (block, cid, n, sketch): a row for each block that a set must be looked up in. n is four
     times the size of the set plus its side: 0 and 1 meet each other, 2 meets 2, and 3 is a block of one rare word."""
     spark = sets.sparkSession
-    sent = spark.sparkContext.broadcast(_bitmaps(counted(sets), RARE + 1, 2))
+    buckets = buckets_for(sets)
+    sent = spark.sparkContext.broadcast(_bitmaps(counted(sets, buckets), buckets, RARE + 1, 2))
 
     def keys_of_poor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Blocks(*sent.value, share)
@@ -271,12 +279,12 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
                 split.of(batch.column(0))
                 _, keys, _ = split.several(None, only_poor=True)
                 if len(keys):
-                    yield _bucket(keys)
+                    yield _bucket(keys, buckets)
 
         return _sparse_counts(each())
 
     hits = sets.select("words").mapInArrow(keys_of_poor, "bucket bigint, n bigint")
-    filtered = spark.sparkContext.broadcast(_bitmaps(hits, 1)[0])
+    filtered = spark.sparkContext.broadcast(_bitmaps(hits, buckets, 1)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Blocks(*sent.value, share)
@@ -370,16 +378,24 @@ class Matches:
     def __init__(self, candidates: DataFrame, share: Fraction = SHARE) -> None:
         self.staging = Staging(candidates.sparkSession, "neardup")
         read = self.staging.put(parsed(candidates))
-        self.sets = self.staging.put(read.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("cid"), "key", "words"))
-        self.members = self.staging.put(read.select("key", "id").join(self.sets.select("key", "cid"), "key").select("cid", "id").distinct())
+        classes = read.groupBy("key").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+        self.sets = self.staging.put(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "words", "n"))
+        total = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        named = salted_join(read.select("key", "id"), self.sets.select("key", "cid"), "key", hot_keys(self.sets, "key", total), F.xxhash64("id"))
+        self.members = self.staging.put(named.select("cid", "id").distinct())
+        self.hot = hot_keys(self.sets, "cid", total)
         self.staging.drop(read)
         self.pairs = self.staging.put(near(self.sets.select("cid", "words"), self.staging, share).select("a", "b"))
 
+    def _meet(self, cid: str, name: str, others: DataFrame) -> DataFrame:
+        """others(cid, ...) beside each member of the class, as ``name``."""
+        members = self.members.select(F.col("cid").alias(cid), F.col("id").alias(name))
+        return salted_join(members, others, cid, self.hot.withColumnRenamed("cid", cid), F.xxhash64(name))
+
     def expanded(self) -> DataFrame:
         """Every pair of different ids, also of equal questions."""
-        ends = self.members.select(F.col("cid").alias("a"), F.col("id").alias("x")), self.members.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-        across = self.pairs.join(ends[0], "a").join(ends[1], "b").filter("x <> y")
-        inside = ends[0].join(ends[1], F.col("a") == F.col("b")).filter("x < y")
+        across = self._meet("b", "y", self._meet("a", "x", self.pairs)).filter("x <> y")
+        inside = self._meet("cid", "x", self.members.withColumnRenamed("id", "y")).filter("x < y")
         both = across.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).unionByName(inside.select(F.col("x").alias("left_id"), F.col("y").alias("right_id")))
         return both.distinct()
 
@@ -393,7 +409,7 @@ class Matches:
         joined = components.connected(edges.select("left", "right"), self.staging)
         known = sizes.join(links, "cid", "left").join(joined.withColumnRenamed("id", "first"), "first", "left").filter("copies > 1 or links > 0")
         known = self.staging.put(known.select("cid", F.coalesce("group_id", "first").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")))
-        return self.members.join(known, "cid").select("id", "group_id", "copies", "links").distinct()
+        return self._meet("cid", "id", known).select("id", "group_id", "copies", "links").distinct()
 
 
 def found(candidates: DataFrame) -> DataFrame:
