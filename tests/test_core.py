@@ -116,9 +116,17 @@ GOOD = {"question": "What?", "answer": "That.", "task_type": "definition", "para
     ("change", "reason"),
     [({}, None), ([], "candidate_not_object"), ({"split": 1}, "unexpected_fields"), ({"answer": " "}, "empty_or_invalid_answer"), ({"question": 3}, "empty_or_invalid_question"), ({"question": "a\x01"}, "control_characters"), ({"task_type": "x"}, "unknown_task_type"), ({"paragraph_ids": ["a", "a"]}, "invalid_paragraph_ids"), ({"footnote_ids": None}, "invalid_footnote_ids"), ({"paragraph_ids": []}, "missing_paragraph_evidence"), ({"reasoning_tags": ["x"]}, "unknown_reasoning_tag"), ({"question": None, "answer": ""}, "empty_or_invalid_question")],
 )
-def test_schema_reasons(change, reason):
-    assert validate.schema_reason({**GOOD, **change} if isinstance(change, dict) else change) == reason
-    assert validate.schema_reason({"question": "q"}) == "missing_fields"
+def test_schema_reasons(spark, change, reason):
+    raw = json.dumps({**GOOD, **change} if isinstance(change, dict) else change)
+    df = spark.createDataFrame([(raw, "missing_fields")], "raw string, other string").select(validate.schema_reason(F.col("raw")), validate.schema_reason(F.lit('{"question": "q"}')))
+    assert tuple(df.first()) == (reason, "missing_fields")
+
+
+def test_only_whole_json_is_read(spark):
+    good = json.dumps(GOOD)
+    texts = [good, f"  {good}\n", good + " x", good + "]", good + "}", good + "]{}", good + "}{}", good + "," + good, "", " ", None, "null", "{", good[:-1] + ', "answer": "again"}', good.replace('"That."', "NaN")]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "raw string").select(validate.schema_reason(F.col("raw"))).collect()]
+    assert got == [None, None] + ["candidate_not_object"] * 13
 
 
 def test_evidence_reasons(spark):
@@ -138,14 +146,14 @@ def test_envelopes_and_verdicts(spark):
     one = json.dumps({"candidates": [1], "abstention_reason": None})
     cases = [(2, one, None), (0, one, "invalid_candidate_count"), (2, "{", "malformed_generation_envelope"), (2, '{"candidates": [], "abstention_reason": " "}', "missing_abstention_reason"), (2, '{"candidates": [1], "abstention_reason": "x"}', "contradictory_abstention"), (2, '{"candidates": [], "abstention_reason": "x"}', None)]
     df = spark.createDataFrame([c[:2] for c in cases], "n int, t string")
-    assert [r[0] for r in df.select(validate.envelope_reason_of(F.col("n"), F.col("t"))).collect()] == [c[2] for c in cases]
+    assert [r[0] for r in df.select(validate.envelope_reason(F.col("n"), F.col("t"))).collect()] == [c[2] for c in cases]
     sound = {k: {"result": "pass", "reason": "r", "evidence_ids": ["e"]} for k in validate.CRITERIA}
     doubt = {**sound, "supported": {"result": "uncertain", "reason": "r", "evidence_ids": []}, "complete": {"result": "fail", "reason": "r", "evidence_ids": []}}
     bare = {**sound, "answerable": {"result": "pass", "reason": "r", "evidence_ids": []}}
     foreign = {**sound, "answerable": {"result": "pass", "reason": "r", "evidence_ids": ["z"]}}
     wants = [(sound, []), (doubt, ["semantic_supported_uncertain", "semantic_complete_fail"]), (bare, ["critic_missing_evidence"]), (foreign, ["malformed_critic_output"]), ({}, ["malformed_critic_output"])]
     df = spark.createDataFrame([(json.dumps({"checks": c}), ["e"]) for c, _ in wants], "t string, k array<string>")
-    assert [r[0] for r in df.select(validate.verdict_reasons_of(F.col("t"), F.col("k"))).collect()] == [w for _, w in wants]
+    assert [r[0] for r in df.select(validate.verdict_reasons(F.col("t"), F.col("k"))).collect()] == [w for _, w in wants]
     df = spark.createDataFrame([('{"a": [{"train": 1}]}',), ('{"a": "train"}',), (None,)], "t string")
     assert [r[0] for r in df.select(validate.forbidden_keys(F.col("t"))).collect()] == [True, False, False]
 

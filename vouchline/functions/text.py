@@ -77,7 +77,7 @@ def word_count(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, rf"[{SPACE}]+", "") == "", F.lit(True))
+    return ~F.coalesce(text.rlike(rf"[^{SPACE}]"), F.lit(False))
 
 
 def unigrams(folded_question: Column) -> Column:

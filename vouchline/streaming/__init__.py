@@ -4,26 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vouchline.operators.validate import schema_reason
 
 
-def _reason(texts):  # noqa: ANN001, ANN202 - a series to a series; annotations would choose another kind of UDF
-    import json
-
-    def one(text: str | None) -> str | None:
-        try:
-            return schema_reason(None if text is None else json.loads(text))
-        except (ValueError, RecursionError):
-            return "candidate_not_object"
-
-    return texts.map(one)
-
-
 def checked(stream: DataFrame) -> DataFrame:
     """candidates(id, raw, ...) as a stream -> with schema_reason; stateless, so it may be appended."""
-    return stream.withColumn("schema_reason", F.pandas_udf(_reason, T.StringType(), F.PandasUDFType.SCALAR)("raw"))
+    return stream.withColumn("schema_reason", schema_reason(F.col("raw")))
 
 
 def first_deliveries(stream: DataFrame, late: str = "30 days") -> DataFrame:
