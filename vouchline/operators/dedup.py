@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vouchline.functions.text import SPACE, bigrams, trimmed, unigrams
+from vouchline.functions.text import SPACE, bigrams, jaccard, trimmed, unigrams
 from vouchline.operators.skew import hot_keys, salted_join
 from vouchline.shared import Staging
 
 # The results that a pair's critic may give.
 RESULTS = ("duplicate", "distinct", "uncertain")
+UNSURE = "near_duplicate_uncertain"
+#: Open pairs that one task settles: some 100 MB at most.
+FEW = 500_000
 #: Guards the prefix lengths against the last bit of a product of doubles.
 EPSILON = 1e-9
 
@@ -20,10 +27,15 @@ def first_valid(events: DataFrame) -> DataFrame:
     """events(id, question_key, valid, record_id) -> with duplicate_of: the record of the first valid event of the same
     question with a smaller id. An invalid earlier event blocks nothing.
 
-    The first valid event is a map-side combined aggregate by question, joined back, so no question gathers its events.
+    The first valid event is a map-side combined aggregate by question, joined back over salts, so no question gathers its
+    events.
     """
-    first = events.filter("valid").groupBy("question_key").agg(F.min(F.struct("id", "record_id")).alias("first"))
-    joined = events.join(first, "question_key", "left")
+    staging = Staging(events.sparkSession, "exact")
+    events = staging.put(events)
+    counts = events.groupBy("question_key").agg(F.min(F.when(F.col("valid"), F.struct("id", "record_id"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    counts = staging.put(counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = salted_join(events, counts.filter("first is not null").select("question_key", "first"), "question_key", hot_keys(counts, "question_key", total), F.xxhash64("id"), "left")
     return joined.select("id", "question_key", "valid", F.when(F.col("id") > F.col("first.id"), F.col("first.record_id")).alias("duplicate_of"))
 
 
@@ -39,54 +51,52 @@ def token_sets(records: DataFrame, folded_question: Column) -> DataFrame:
     return records.select("id", words.alias("w")).select("id", F.array_distinct("w").alias("uni"), F.array_distinct(bigrams(F.col("w"))).alias("bi"))
 
 
-def _sketch(name: str, part: int) -> Column:
-    """A quarter of the 256 parities of a set's members: two sets differ in at least as many members as parities."""
-    return F.expr(f"aggregate(transform({name}, x -> xxhash64(x)), 0L, (a, h) -> a ^ if(pmod(shiftright(h, 6), 4) = {part}, shiftleft(1L, cast(pmod(h, 64) as int)), 0L))")
+def _sketch(part: int) -> Column:
+    """64 of 128 parities of the hashes in x: two sets differ in at least as many members as in parities."""
+    return F.expr(f"aggregate(x, 0L, (a, y) -> a ^ if((shiftrightunsigned(y.h, 6) & 1) = {part}, shiftleft(1L, cast(y.h & 63 as int)), 0L))")
 
 
 def _prefixes(sets: DataFrame, name: str, least: float, staging: Staging) -> DataFrame:
-    """(token, id, n, at, k0..k3): of each set its rarest members, as many as a pair that reaches ``least`` must share one
-    of, with their places and the set's size and sketch."""
-    exploded = sets.select("id", F.size(name).alias("size"), *[_sketch(name, i).alias(f"k{i}") for i in range(4)], F.explode(name).alias("token"))
-    frequency = staging.put(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    """(h, sid, n, at, k0, k1): of each set its rarest members, as many as a pair that reaches ``least`` must share one of,
+    as hashes and with their places, beside the set's size and sketch. Only hashes and numbers are shuffled."""
+    exploded = sets.select("sid", F.explode(F.transform(name, lambda x: F.xxhash64(x))).alias("h"))
+    frequency = staging.put(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     total = frequency.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = salted_join(exploded, frequency.select("token", F.col("n").alias("f")), "token", hot_keys(frequency, "token", total), F.xxhash64("id"))
-    kept = ["id", "k0", "k1", "k2", "k3"]
-    ranked = counted.groupBy(*kept, F.col("size").alias("n")).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
+    counted = salted_join(exploded, frequency.select("h", F.col("n").alias("f")), "h", hot_keys(frequency, "h", total), F.col("sid"))
+    ranked = counted.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x")).withColumn("n", F.size("x"))
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPSILON) + 1).cast("int")
-    return staging.put(ranked.select(*kept, "n", F.posexplode(F.slice("x", F.lit(1), length)).alias("at", "y")).select("y.token", *kept, "n", "at"))
+    kept = ranked.select("sid", "n", _sketch(0).alias("k0"), _sketch(1).alias("k1"), F.slice("x", F.lit(1), length).alias("x"))
+    return staging.put(kept.select("sid", "n", "k0", "k1", F.posexplode("x").alias("at", "y")).select("y.h", "sid", "n", "at", "k0", "k1"))
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the sets that meet at a member and can still reach ``least`` from there and by their sketches."""
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    total = l("n") + r("n")
+    needed = F.ceil(F.lit(least / (1 + least)) * total - EPSILON)
+    # At a pair's first common member, only that and what comes after it in both sets can be common.
+    reach = F.least(l("n") - l("at"), r("n") - r("at")) >= needed
+    apart = F.bit_count(l("k0").bitwiseXOR(r("k0"))) + F.bit_count(l("k1").bitwiseXOR(r("k1")))
+    met = rows.alias("l").join(rows.alias("r"), l("h") == r("h")).filter((l("sid") < r("sid")) & reach & (apart <= total - 2 * needed))
+    return met.select(l("sid").alias("a"), r("sid").alias("b"))
 
 
 def near_pairs(sets: DataFrame, least_uni: float = 0.70, least_bi: float = 0.50) -> DataFrame:
     """sets(id, uni, bi) -> (left, right, unigram, bigram) of all pairs that reach either threshold, left < right.
 
     Exact by prefix filtering: with the members of a set in one order from the rarest, two sets of Jaccard t or more share
-    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words. What meets must still be able to
-    reach the overlap from where it meets, and by its sketches; only that is made distinct and scored from the sets.
+    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words. What meets is made distinct as
+    pairs of numbers and scored from the sets. Rows of a member that many prefixes hold are one join key; adaptive
+    execution splits its partition where it is out of line.
     """
     staging = Staging(sets.sparkSession, "near")
-    sets = staging.put(sets)
-    found = None
-    for name, least in (("uni", least_uni), ("bi", least_bi)):
-        rows = _prefixes(sets, name, least, staging)
-        l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-        total = l("n") + r("n")
-        needed = F.ceil(F.lit(least / (1 + least)) * total - EPSILON)
-        apart = sum((F.bit_count(l(f"k{i}").bitwiseXOR(r(f"k{i}"))) for i in range(1, 4)), F.bit_count(l("k0").bitwiseXOR(r("k0"))))
-        # At a pair's first common member, only that and what comes after it in both sets can be common.
-        reach = F.least(l("n") - l("at"), r("n") - r("at")) >= needed
-        met = rows.alias("l").join(rows.alias("r"), l("token") == r("token")).filter((l("id") < r("id")) & reach & (apart <= total - 2 * needed))
-        pairs = met.select(l("id").alias("left"), r("id").alias("right"))
-        found = pairs if found is None else found.unionByName(pairs)
-    pairs = staging.put(found.distinct())
-    a, b = sets.select(F.col("id").alias("left"), F.col("uni").alias("u1"), F.col("bi").alias("b1")), sets.select(F.col("id").alias("right"), F.col("uni").alias("u2"), F.col("bi").alias("b2"))
-
-    def score(x: str, y: str) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0))
-
-    scored = pairs.join(a, "left").join(b, "right").select("left", "right", score("u1", "u2").alias("unigram"), score("b1", "b2").alias("bigram"))
-    return scored.filter((F.col("unigram") >= least_uni) | (F.col("bigram") >= least_bi))
+    sets = staging.put(sets.withColumn("sid", F.monotonically_increasing_id()))
+    found = [_met(_prefixes(sets, name, least, staging), least) for name, least in (("uni", least_uni), ("bi", least_bi))]
+    pairs = staging.put(found[0].unionByName(found[1]).distinct())
+    a, b = (sets.select(F.col("sid").alias(side), F.col("id").alias(f"id_{side}"), F.col("uni").alias(f"uni_{side}"), F.col("bi").alias(f"bi_{side}")) for side in "ab")
+    one = pairs.join(a, "a").join(b, "b")
+    left = one.select(F.least("id_a", "id_b").alias("left"), F.greatest("id_a", "id_b").alias("right"), jaccard(F.col("uni_a"), F.col("uni_b")).alias("unigram"), jaccard(F.col("bi_a"), F.col("bi_b")).alias("bigram"))
+    return left.filter((F.col("unigram") >= least_uni) | (F.col("bigram") >= least_bi))
 
 
 def recorded(duplicates: DataFrame) -> DataFrame:
@@ -103,44 +113,53 @@ def recorded(duplicates: DataFrame) -> DataFrame:
     return ordered.groupBy("left", "right").agg(F.coalesce(F.max("said"), F.lit("uncertain")).alias("result"))
 
 
-def resolved(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """``resolved`` for at most FEW open pairs: one task goes through them in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set[str] = set()
+        for batch in batches:
+            fates: list[tuple[str, str, str | None]] = []
+            for left, right, result in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if left in gone or right in gone:
+                    continue
+                fates += [(right, "near_duplicate", left)] if result == "duplicate" else [(right, UNSURE, None), (left, UNSURE, None)]
+                gone.update(fate[0] for fate in fates[-2:])
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*fates, strict=True)] if fates else [pa.array([], pa.string())] * 3, ["record", "reason", "duplicate_of"])
+
+    ordered = pairs.select("left", "right", "result").repartition(1).sortWithinPartitions("right", "left")
+    return ordered.mapInArrow(run, "record string, reason string, duplicate_of string")
+
+
+def resolved(pairs: DataFrame, few: int = FEW) -> DataFrame:
     """pairs(left, right, result) -> (record, reason, duplicate_of) of every rejected record.
 
     Pairs count in the order of (right, left). A pair of which a record is already rejected is skipped; 'duplicate'
-    rejects the right one, 'uncertain' both, anything else none. Instead of one pass in order, rounds: a pair takes effect
+    rejects the right one, 'uncertain' both, anything else none. Rounds settle many pairs at once: a pair takes effect
     once no earlier open pair could still reject one of its records, and a pair with a record rejected before it is
-    dropped. A record's pairs are never gathered; only the first that could reject it is kept, by an aggregate.
+    dropped. A record's pairs are never gathered; only the first that could reject it is kept, by an aggregate. Record ids
+    are digests, so the pairs come in random order and a round leaves a fraction of them; as soon as at most ``few`` are
+    left, one task settles them in order. Every round settles a pair, so it ends whatever the ids.
     """
     staging = Staging(pairs.sparkSession, "resolve")
-    order = F.struct("right", "left")
     started = pairs.filter(F.col("left") < F.col("right")).filter(F.col("result").isin("duplicate", "uncertain"))
     open_ = staging.put(started.groupBy("left", "right").agg(F.max("result").alias("result")))
     fates = []
-    for _ in range(most_rounds):
-        if open_.isEmpty():
-            break
-        ordered = open_.withColumn("at", order)
-        kills = ordered.select(F.col("right").alias("record"), "at").unionByName(ordered.filter("result = 'uncertain'").select(F.col("left").alias("record"), "at"))
-        first = kills.groupBy("record").agg(F.min("at").alias("first"))
-        near = ordered.join(first.select(F.col("record").alias("left"), F.col("first").alias("first_left")), "left", "left").join(first.select(F.col("record").alias("right"), F.col("first").alias("first_right")), "right", "left")
-        free = (F.col("first_left").isNull() | (F.col("first_left") >= F.col("at"))) & (F.col("first_right") >= F.col("at"))
-        firing = staging.put(near.filter(free).select("left", "right", "result"))
-        hit = firing.select(F.col("right").alias("record"), F.when(F.col("result") == "duplicate", "near_duplicate").otherwise("near_duplicate_uncertain").alias("reason"), F.when(F.col("result") == "duplicate", F.col("left")).alias("duplicate_of"), order.alias("at")).unionByName(
-            firing.filter("result = 'uncertain'").select(F.col("left").alias("record"), F.lit("near_duplicate_uncertain").alias("reason"), F.lit(None).cast("string").alias("duplicate_of"), order.alias("at"))
+    while open_.limit(few + 1).count() > few:
+        ordered = open_.withColumn("at", F.struct("right", "left"))
+        ends = ordered.select("at", F.explode(F.when(F.col("result") == "duplicate", F.array("right")).otherwise(F.array("right", "left"))).alias("record"))
+        first = staging.put(ends.groupBy("record").agg(F.min("at").alias("first")))
+        side = lambda rows, table, name, at: rows.join(table.select(F.col("record").alias(name), F.col(at).alias(f"{at}_{name}")), name, "left")
+        known = side(side(ordered, first, "left", "first"), first, "right", "first")
+        fires = (F.col("first_left").isNull() | (F.col("first_left") >= F.col("at"))) & (F.col("first_right") >= F.col("at"))
+        twice = F.when(F.col("result") == "duplicate", F.array(F.struct(F.col("right").alias("record"), F.lit("near_duplicate").alias("reason"), F.col("left").alias("duplicate_of")))).otherwise(
+            F.transform(F.array("right", "left"), lambda x: F.struct(x.alias("record"), F.lit(UNSURE).alias("reason"), F.lit(None).cast("string").alias("duplicate_of")))
         )
-        fate = staging.put(hit)
-        fates.append(fate)
-        gone = fate.select("record", F.col("at").alias("gone"))
-        rest = ordered.join(gone.select(F.col("record").alias("left"), F.col("gone").alias("gone_left")), "left", "left").join(gone.select(F.col("record").alias("right"), F.col("gone").alias("gone_right")), "right", "left")
+        fate = staging.put(known.filter(fires).select("at", F.explode(twice).alias("x")).select("x.*", "at"))
+        fates.append(fate.select("record", "reason", "duplicate_of"))
+        gone = side(side(ordered, fate, "left", "at"), fate, "right", "at")
         stands = lambda c: F.col(c).isNull() | (F.col(c) > F.col("at"))
-        after = staging.put(rest.filter(stands("gone_left") & stands("gone_right")).select("left", "right", "result"))
-        staging.drop(open_, firing)
+        after = staging.put(gone.filter(stands("at_left") & stands("at_right")).select("left", "right", "result"))
+        staging.drop(open_, first)
         open_ = after
-    else:
-        raise RuntimeError("resolution did not end")
-    out = fates[0] if fates else None
-    for fate in fates[1:]:
-        out = out.unionByName(fate)
-    if out is None:
-        return open_.select(F.col("left").alias("record"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("duplicate_of"))
-    return out.select("record", "reason", "duplicate_of")
+    return reduce(DataFrame.unionByName, fates, _in_order(open_))

@@ -10,12 +10,14 @@ from pyspark.sql import Window as W
 
 from vouchline.functions.ident import seeded_digest
 from vouchline.functions.text import as_number, word_count
+from vouchline.shared import Staging
 
 SEED = 42
 
 
 def decided(decisions: DataFrame) -> DataFrame:
-    """A row a candidate: copies delivered again collapse; status in lower case, standard as a number, reasons never null."""
+    """A row a candidate: of copies delivered again the smallest is kept; status in lower case, standard as a number, reasons
+    never null."""
     rows = decisions.select(
         "candidate_id",
         "unit_id",
@@ -27,7 +29,8 @@ def decided(decisions: DataFrame) -> DataFrame:
         F.col("record.complexity").alias("complexity"),
         F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"),
     )
-    return rows.filter("candidate_id is not null").dropDuplicates(["candidate_id"])
+    told = rows.filter("candidate_id is not null").distinct()
+    return told.groupBy("candidate_id").agg(F.min(F.struct(*told.columns[1:])).alias("x")).select("candidate_id", "x.*")
 
 
 def acceptance(rows: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -101,29 +104,32 @@ def review_sample(rows: DataFrame, size: int = 40, seed: int = SEED) -> DataFram
     decision of the least drawn standard, then of the least drawn other traits, ties by the seeded digest.
 
     Decisions that agree in all traits differ by their digest only, so of each such stratum the ``size`` smallest digests
-    suffice. They are found by map-side combined aggregates; the greedy choice then runs over strata, not decisions.
+    suffice; they are found in two steps, by bucket and over the buckets. Strata grow with the data, so each draw is an
+    aggregate over them, and one row a draw comes to the driver.
     """
-    tied = rows.filter(F.col("status").isin("accepted", "rejected")).select("candidate_id", "status", *_stratum(), seeded_digest(seed, F.col("candidate_id")).alias("tie"))
-    kept = tied.withColumn("bucket", F.pmod(F.xxhash64("candidate_id"), F.lit(64)))
+    spark = rows.sparkSession
     keys = ["status", "s0", "s1", "s2", "s3"]
-    first = W.partitionBy(*keys, "bucket").orderBy("tie")
-    some = kept.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size).drop("rank")
-    last = W.partitionBy(*keys).orderBy("tie")
-    best = some.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= size)
-    pools: dict[tuple, list[tuple[str, str]]] = {}
-    for r in best.orderBy(*keys, "tie").select(*keys, "tie", "candidate_id").toLocalIterator():
-        pools.setdefault(tuple(r[k] for k in keys), []).append((r["tie"], r["candidate_id"]))
-    used: Counter = Counter()
+    tied = rows.filter(F.col("status").isin("accepted", "rejected")).select("candidate_id", "status", *_stratum(), seeded_digest(seed, F.col("candidate_id")).alias("tie"))
+    least = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*keys, *by).orderBy("tie"))).filter(F.col("rank") <= size).drop("rank")
+    best = Staging(spark, "review").put(least(least(tied.withColumn("bucket", F.pmod(F.xxhash64("candidate_id"), F.lit(64))), "bucket").drop("bucket")))
+    drawn: list[str] = []
+    used = {key: Counter() for key in keys}
     out: list[tuple[str, str, int]] = []
 
+    def times(key: str) -> Column:
+        # As a constant map, so that the draws share one compiled plan.
+        counts = F.create_map(*[F.lit(x) for pair in (used[key] or {"": 0}).items() for x in pair])
+        return F.coalesce(F.try_element_at(counts, F.col(key)), F.lit(0))
+
     def draw(allowed: tuple[str, ...]) -> bool:
-        open_ = [k for k, pool in pools.items() if pool and k[0] in allowed]
-        if not open_:
+        cost = F.struct(times("s0").alias("c0"), (times("s1") + times("s2") + times("s3")).alias("c1"), "tie", "candidate_id", *keys)
+        row = best.filter(F.array_contains(F.array(*map(F.lit, allowed)), F.col("status")) & ~F.array_contains(F.array(*map(F.lit, drawn)).cast("array<string>"), F.col("candidate_id"))).agg(F.min(cost).alias("x")).first()["x"]
+        if row is None:
             return False
-        key = min(open_, key=lambda k: (used["standard", k[1]], sum(used[i, v] for i, v in enumerate(k[2:])), pools[k][0][0]))
-        out.append((pools[key].pop(0)[1], key[0], len(out)))
-        used["standard", key[1]] += 1
-        used.update(enumerate(key[2:]))
+        drawn.append(row["candidate_id"])
+        out.append((row["candidate_id"], row["status"], len(out)))
+        for key in keys[1:]:
+            used[key][row[key]] += 1
         return True
 
     for status, aim in (("accepted", (size * 3 + 3) // 4), ("rejected", size // 4)):
@@ -132,7 +138,7 @@ def review_sample(rows: DataFrame, size: int = 40, seed: int = SEED) -> DataFram
                 break
     while len(out) < size and draw(("accepted", "rejected")):
         pass
-    return rows.sparkSession.createDataFrame(out, "candidate_id string, status string, place int")
+    return spark.createDataFrame(out, "candidate_id string, status string, place int")
 
 
 def review_rows(sample: DataFrame, rows: DataFrame, candidates: DataFrame, units: DataFrame, standards: DataFrame) -> DataFrame:
