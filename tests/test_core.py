@@ -84,24 +84,28 @@ def test_units(spark):
     assert unit.pop("id") == "unit:" + digest_of(unit)
 
 
-def test_unit_order_equals_the_rule(spark):
+def test_unit_order_obeys_the_rule(spark):
+    """Read back from the result: in every place no unit of the standard was to be preferred, and in every round each
+    standard with units left has one, the less covered quartiles before the others."""
     random.seed(4)
     data = [(f"AS {1000 + random.randint(0, 6)}", f"s{i}", f".{i:02d}", "w " * random.choice([5, 300, 900]) + random.choice(["", "paragraph"])) for i in range(30)]
     planned = planning.units(paragraphs(spark, data))
-    got = [r["id"] for r in planning.ordered(planned, 7).orderBy("position").collect()]
-    units = [r.asDict(recursive=True) for r in planned.collect()]
-    used, left, want = {}, list(units), []
-    while left:
-        for s in sorted({u["standard"] for u in left}, key=lambda s: (used.get(("q", next(u["features"]["standard_quartile"] for u in units if u["standard"] == s)), 0), digest_of([7, s]))):
-            mine = [u for u in left if u["standard"] == s]
-            best = min(mine, key=lambda u: (sum(used.get((k, v), 0) for k, v in u["features"].items()), digest_of([7, u["id"]])))
-            left.remove(best)
-            want.append(best["id"])
-            for k, v in best["features"].items():
-                used[k, v] = used.get((k, v), 0) + 1
-            q = ("q", best["features"]["standard_quartile"])
-            used[q] = used.get(q, 0) + 1
-    assert got == want
+    units = {r["id"]: r.asDict(recursive=True) for r in planned.collect()}
+    order = [units[r["id"]] for r in planning.ordered(planned, 7).orderBy("position").collect()]
+    assert len(order) == len(units) == len({u["id"] for u in order})
+    traits = lambda u: set(u["features"].items())
+    for place, unit in enumerate(order):
+        before = [t for u in order[:place] for t in traits(u)]
+        rank = lambda u: (sum(before.count(t) for t in traits(u)), digest_of([7, u["id"]]))  # noqa: B023, E731
+        assert rank(unit) == min(rank(u) for u in order[place:] if u["standard"] == unit["standard"])
+    turns, place = max(sum(u["standard"] == s for u in order) for s in {u["standard"] for u in order}), 0
+    for turn in range(turns):
+        due = {s for s in {u["standard"] for u in order} if sum(u["standard"] == s for u in order) > turn}
+        round_ = order[place : place + len(due)]
+        covered = [u["features"]["standard_quartile"] for u in order[:place]]
+        keys = [(covered.count(u["features"]["standard_quartile"]), digest_of([7, u["standard"]])) for u in round_]
+        assert {u["standard"] for u in round_} == due and keys == sorted(keys)
+        place += len(due)
 
 
 def test_pilot_takes_turns(spark):

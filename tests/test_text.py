@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 from vouchline.functions import ident, text
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [("x\xa0\xa0y", "x y"), ("  far   apart ", "far apart"), ("duties .", "duties."), ("( Refer to this )", "(Refer to this)"), ("points .05 and .07", "points .05 and .07"), ("a ; b", "a; b"), ("", "")],
-)
-def test_clean(raw, want):
-    assert text.clean_text(raw) == want
+_blanks = st.text(st.sampled_from(" \t\n\xa0\u2003"), min_size=1, max_size=3)
+_word = st.text(st.sampled_from("abcxyzé0123"), min_size=1, max_size=6)
+
+
+@given(st.lists(st.tuples(_word, st.sampled_from(["", ".", ",", ";", ":"]), st.booleans(), st.booleans(), _blanks), max_size=8), _blanks)
+def test_clean_closes_seams_and_collapses_blanks(parts, edge):
+    """Words with a stop after some and parentheses around some, blanks put where markup leaves them, come out closed up."""
+    raw, want = edge, []
+    for word, stop, loose, bracketed, gap in parts:
+        inside = f"( {word} )" if bracketed else word
+        raw += inside + (gap if loose and stop else "") + stop + gap
+        want.append((f"({word})" if bracketed else word) + stop)
+    assert text.clean_text(raw) == " ".join(want)
+
+
+def test_clean_leaves_labels_alone():
+    """A stop that begins a word belongs to it."""
+    assert [text.clean_text(f"see {n} and {n}") for n in (".07", ".A3", ":x", ";y")] == ["see .07 and .07", "see .A3 and .A3", "see :x and :x", "see ;y and ;y"]
+    assert text.clean_text("\ufb01le \uff21\uff33") == "file AS" and text.clean_text("") == ""
 
 
 @given(st.text(max_size=60))

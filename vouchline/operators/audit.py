@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions.text import as_number, folded, trimmed
 from vouchline.operators import dedup, validate
+from vouchline.shared import Staging
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
@@ -39,31 +40,42 @@ def unresolved_pairs(pairs: DataFrame, duplicates: DataFrame) -> DataFrame:
     return pairs.select(F.least(plain("left"), plain("right")).alias("left"), F.greatest(plain("left"), plain("right")).alias("right")).join(distinct, ["left", "right"], "left_anti")
 
 
-def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, duplicates: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+def findings(candidates: DataFrame, decisions: DataFrame, units: DataFrame, duplicates: DataFrame, paragraphs: DataFrame | None = None, footnotes: DataFrame | None = None) -> DataFrame:
     """(code, subjects): one row a code that was found, with how many subjects broke the check. With the paragraphs, what
-    was accepted is also checked again: its evidence, and its near pairs against the pairs recorded as distinct."""
-    once = decisions.select("candidate_id", "unit_id", "standard", "status", "duplicate_of", F.col("record.id").alias("record_id"), F.col("record.group_key").alias("group_key"), F.col("record.document_id").alias("document_id")).distinct()
-    accepted = once.filter(F.lower(F.trim("status")) == "accepted")
+    was accepted is also checked again: its evidence, and its near pairs against the pairs recorded as distinct.
+
+    Every table is read and made distinct once; the checks on its rows are counted by one aggregate each.
+    """
+    staging = Staging(candidates.sparkSession, "audit")
+    fields = ("id", "group_key", "document_id")
+    once = staging.put(decisions.select("candidate_id", "unit_id", "standard", F.lower(F.trim("status")).alias("status"), "duplicate_of", *[F.col(f"record.{f}").alias("record_id" if f == "id" else f) for f in fields]).distinct())
     known = units.select(F.col("id").alias("unit_id"), F.col("standard").alias("unit_standard"), F.col("document_id").alias("unit_document"))
-    placed = accepted.join(known, "unit_id", "left")
-    members = duplicates.select(F.lower(trimmed(F.col("left"))).alias("id")).unionByName(duplicates.select(F.lower(trimmed(F.col("right"))).alias("id"))).distinct()
-    checks = {
-        "invalid_decision": once.filter(~F.coalesce(F.lower(F.trim("status")).isin("accepted", "rejected"), F.lit(False))).select("candidate_id"),
-        "duplicate_accepted_ids": repeated(accepted.select("record_id", "candidate_id").distinct(), "record_id").select("key"),
-        "duplicate_candidate_ids": repeated(candidates.select("id"), "id").select("key"),
-        "missing_candidate_decisions": unmatched(candidates, decisions).filter("missing = 'decision'").select("candidate_id"),
-        "decisions_without_candidate": unmatched(candidates, decisions).filter("missing = 'candidate'").select("candidate_id"),
-        "group_mismatch": placed.filter(~(F.col("group_key").eqNullSafe(F.col("unit_standard")) & as_number(F.col("standard")).eqNullSafe(F.col("unit_standard")))).select("candidate_id"),
-        "provenance_mismatch": placed.filter(~F.col("document_id").eqNullSafe(F.col("unit_document"))).select("candidate_id"),
-        "accepted_without_record": accepted.filter("record_id is null").select("candidate_id"),
-        "duplicate_of_unknown_record": once.filter("duplicate_of is not null").select("candidate_id", F.col("duplicate_of").alias("record_id")).join(once.select("record_id"), "record_id", "left_anti").select("candidate_id"),
-        "pair_of_unknown_record": members.join(once.select(F.col("record_id").alias("id")), "id", "left_anti").select("id"),
-        "split_fields_present": candidates.filter(validate.forbidden_keys(F.col("raw"))).select("id").distinct(),
-    }
+    is_accepted, count = F.coalesce(F.col("status") == "accepted", F.lit(False)), lambda c: F.count_if(c)
+    same = F.col("group_key").eqNullSafe(F.col("unit_standard")) & as_number(F.col("standard")).eqNullSafe(F.col("unit_standard"))
+    by_row = once.join(known, "unit_id", "left").agg(
+        count(~F.coalesce(F.col("status").isin("accepted", "rejected"), F.lit(False))).alias("invalid_decision"),
+        count(is_accepted & ~same).alias("group_mismatch"),
+        count(is_accepted & ~F.col("document_id").eqNullSafe(F.col("unit_document"))).alias("provenance_mismatch"),
+        count(is_accepted & F.col("record_id").isNull()).alias("accepted_without_record"),
+    )
+    delivered = staging.put(candidates.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(validate.forbidden_keys(F.col("raw"))).alias("split")))
+    by_candidate = delivered.agg(count(F.col("n") > 1).alias("duplicate_candidate_ids"), count("split").alias("split_fields_present"))
+    sides = unmatched(delivered, once)
+    by_side = sides.agg(count(F.col("missing") == "decision").alias("missing_candidate_decisions"), count(F.col("missing") == "candidate").alias("decisions_without_candidate"))
+    accepted = once.filter("status = 'accepted'")
+    twice = repeated(accepted.select("record_id", "candidate_id").distinct(), "record_id").agg(F.count(F.lit(1)).alias("duplicate_accepted_ids"))
+    records = once.filter("record_id is not null").select("record_id").distinct()
+    orphans = once.filter("duplicate_of is not null").select(F.col("duplicate_of").alias("record_id")).join(records, "record_id", "left_anti").agg(F.count(F.lit(1)).alias("duplicate_of_unknown_record"))
+    members = duplicates.select(F.explode(F.array("left", "right")).alias("x")).select(F.lower(trimmed(F.col("x"))).alias("record_id")).distinct()
+    strangers = members.join(records, "record_id", "left_anti").agg(F.count(F.lit(1)).alias("pair_of_unknown_record"))
+    tables = [by_row, by_candidate, by_side, twice, orphans, strangers]
     if paragraphs is not None:
-        read = validate.parsed(candidates)
-        checks["unresolved_accepted_duplicate"] = unresolved_pairs(near_accepted(read, accepted), duplicates)
-        reasons = validate.evidence_reasons(read, units, validate.evidence(paragraphs))
-        checks["deterministic_failure"] = reasons.filter(F.size("reasons") > 0).join(accepted.select(F.col("candidate_id").alias("id")), "id", "left_semi").select("id")
-    counted = [rows.agg(F.count(F.lit(1)).alias("subjects")).select(F.lit(code).alias("code"), "subjects") for code, rows in checks.items()]
+        read = staging.put(validate.parsed(candidates))
+        near = unresolved_pairs(near_accepted(read, accepted), duplicates)
+        reasons = validate.evidence_reasons(read, units, validate.evidence(paragraphs, footnotes)).filter(F.size("reasons") > 0)
+        failed = reasons.join(accepted.select(F.col("candidate_id").alias("id")).distinct(), "id", "left_semi")
+        questions = read.filter("schema_reason is null").join(accepted.select(F.col("candidate_id").alias("id"), "record_id").distinct(), "id").select("record_id", folded(F.col("question")).alias("question")).distinct()
+        asked = questions.groupBy("question").agg(F.count_distinct("record_id").alias("n")).filter("n > 1")
+        tables += [rows.agg(F.count(F.lit(1)).alias(code)) for code, rows in (("unresolved_accepted_duplicate", near), ("deterministic_failure", failed), ("duplicate_accepted_questions", asked))]
+    counted = [table.unpivot([], table.columns, "code", "subjects") for table in tables]
     return reduce(DataFrame.unionByName, counted).filter("subjects > 0")

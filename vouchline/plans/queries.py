@@ -250,7 +250,45 @@ _EVIDENCE_REASONS = rf"""{_SOUND},
         CASE WHEN len(list_filter(regexp_extract_all(said, '\bAS\s*\d{{4}}(\.(?:\d{{2}}[A-Z]?|[A-Z]\d+))\b', 1), lambda l: NOT list_contains(labels, l))) > 0 THEN 'invalid_inline_citation' END) AS reasons
         FROM own JOIN known ON known.standard = own)"""
 
+# The first reason of every candidate, in the order of the contract.
+_FIELDS = ", ".join(f"'{n}'" for n in (*validate.TEXTS, *validate.LISTS))
+
+
+def _broken_text(name: str) -> str:
+    return rf"""WHEN coalesce(json_type(j->'{name}'), 'NULL') <> 'VARCHAR' OR NOT regexp_matches(j->>'{name}', '{_SPACE}') THEN 'empty_or_invalid_{name}'
+        WHEN regexp_matches(j->>'{name}', '[\x00-\x08\x0b\x0c\x0e-\x1f]') THEN 'control_characters'"""
+
+
+def _broken_list(name: str) -> str:
+    absent = "'ARRAY'" if name in validate.OPTIONAL else "'NULL'"
+    held = f"coalesce(CAST(j->'{name}' AS JSON[]), [])"
+    return f"""WHEN coalesce(json_type(j->'{name}'), {absent}) <> 'ARRAY' OR len(list_filter({held}, lambda x: json_type(x) <> 'VARCHAR' OR x = '""')) > 0
+        OR len(list_distinct(CAST({held} AS VARCHAR[]))) < len({held}) THEN 'invalid_{name}'"""
+
+
+_REASON = f"""told AS (SELECT DISTINCT id, unit_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN CAST(raw AS JSON) END AS j FROM candidates),
+    reasoned AS (SELECT id, unit_id, CASE WHEN j IS NULL THEN 'candidate_not_object'
+        WHEN len(list_filter(json_keys(j), lambda k: k NOT IN ({_FIELDS}))) > 0 THEN 'unexpected_fields'
+        WHEN NOT list_has_all(json_keys(j), ['question', 'answer', 'task_type', 'paragraph_ids']) THEN 'missing_fields'
+        {" ".join(map(_broken_text, validate.TEXTS))}
+        WHEN j->>'task_type' NOT IN ({_TASKS}) THEN 'unknown_task_type'
+        {" ".join(map(_broken_list, validate.LISTS))}
+        WHEN json_array_length(j->'paragraph_ids') = 0 THEN 'missing_paragraph_evidence'
+        WHEN len(list_filter(coalesce(CAST(j->'reasoning_tags' AS VARCHAR[]), []), lambda t: t NOT IN ({_TASKS}))) > 0 THEN 'unknown_reasoning_tag' END AS schema_reason FROM told)"""
+# Near pairs of the accepted records by counting what any two have in common.
+_NEAR = rf"""asked AS (SELECT DISTINCT record_id AS id, regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}_]+(?:\.\p{{Nd}}+)?') AS w
+        FROM sound JOIN (SELECT DISTINCT candidate_id, record.id AS record_id FROM decisions WHERE lower(trim(status)) = 'accepted' AND record.id IS NOT NULL) d ON d.candidate_id = sound.id),
+    uni AS (SELECT id, unnest(list_distinct(w)) AS t, len(list_distinct(w)) AS n FROM asked),
+    grams AS (SELECT id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM asked),
+    bi AS (SELECT id, unnest(g) AS t, len(g) AS n FROM grams),
+    by_uni AS (SELECT a.id AS l, b.id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS unigram FROM uni a JOIN uni b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+    by_bi AS (SELECT a.id AS l, b.id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS bigram FROM bi a JOIN bi b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+    near AS (SELECT l, r, unigram, coalesce(bigram, 0.0) AS bigram FROM by_uni LEFT JOIN by_bi USING (l, r) WHERE unigram >= 0.7 OR bigram >= 0.5)"""
+
 ORACLES: dict[str, str] = {
+    "candidate_schema_reasons": f"WITH {_REASON} SELECT schema_reason, count(*) AS candidates FROM reasoned GROUP BY 1",
+    "evidence_reasons": f"WITH {_EVIDENCE_REASONS}, {_REASON} SELECT r.id, coalesce(schema_reason, reasons, '') AS reasons FROM reasoned r LEFT JOIN judged USING (id)",
+    "near_pairs": f'WITH {_SOUND}, {_NEAR} SELECT l AS "left", r AS "right", unigram, bigram FROM near',
     "coverage_by_standard": f"WITH {_COVERAGE} SELECT standard, accepted, round(share, 9) AS share, round(source_word_share, 9) AS source_word_share, round(source_section_share, 9) AS source_section_share, planned_units, candidate_ceiling FROM covered",
     "paragraphs_flattened": f"""WITH {_FLAT} SELECT p.standard AS as_number, section_pos::INT AS section_pos, p.section_id AS heading,
         (row_number() OVER (PARTITION BY p.standard, p.section_id ORDER BY number, text) - 1)::INT AS paragraph_pos, number, text
@@ -327,13 +365,16 @@ ORACLES: dict[str, str] = {
     "html_round_trip": rf"""SELECT standard AS as_number, section_id, number, regexp_replace(trim(regexp_replace(text, '[\s\x1c-\x1f\p{{Z}}\x{{85}}]+', ' ', 'g')), ' +([.,;:])( |$)', '\1\2', 'g') AS text FROM paragraphs""",
     "nfkc_normalize": f"WITH {_SOUND} SELECT id, {_FOLDED} AS question_key FROM sound",
     "unigram_tokens": rf"WITH {_SOUND}, t AS (SELECT DISTINCT id, unnest(regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}_]+(?:\.\p{{Nd}}+)?')) AS token FROM sound) SELECT token, count(*) AS questions FROM t GROUP BY 1",
-    "exact_dup_first_valid": f"""WITH {_SOUND}, v AS (SELECT candidate_id AS id, max(record.id) AS record_id, max(coalesce(len(reasons), 0)) = 0 AS clean FROM decisions GROUP BY 1),
+    "exact_dup_first_valid": f"""WITH {_SOUND}, v AS (SELECT candidate_id AS id, max(record.id) AS record_id, max(coalesce(len(list_filter(reasons, lambda r: coalesce(trim(regexp_replace(lower(r), '[^\\p{{L}}\\p{{Nd}}]+', '_', 'g'), '_'), '') NOT IN ('near_duplicate', 'near_duplicate_uncertain'))), 0)) = 0 AS clean FROM decisions GROUP BY 1),
         e AS (SELECT id, {_FOLDED} AS k, clean AND record_id IS NOT NULL AS valid, record_id FROM sound JOIN v USING (id)),
         f AS (SELECT k, min(id) AS first, arg_min(record_id, id) AS record_id FROM e WHERE valid GROUP BY 1)
         SELECT e.id, f.record_id AS duplicate_of FROM e JOIN f USING (k) WHERE e.id > first""",
     "evidence_reasons_sound": f"WITH {_EVIDENCE_REASONS} SELECT id, reasons FROM judged",
-    "findings_union": f"""WITH once AS (SELECT DISTINCT candidate_id, unit_id, standard, lower(trim(status)) AS status, duplicate_of, record.id AS record_id, record.group_key AS group_key, record.document_id AS document_id FROM decisions),
+    "findings_union": f"""WITH {_EVIDENCE_REASONS}, {_REASON}, {_NEAR}, once AS (SELECT DISTINCT candidate_id, unit_id, standard, lower(trim(status)) AS status, duplicate_of, record.id AS record_id, record.group_key AS group_key, record.document_id AS document_id FROM decisions),
         acc AS (SELECT once.*, {_NUMBER.replace("(?i)", "(?i)").replace("standard", "once.standard")} AS named, u.standard AS unit_standard, u.document_id AS unit_document FROM once LEFT JOIN units u ON u.id = unit_id WHERE status = 'accepted'),
+        ends AS (SELECT lower(regexp_replace("left", '^{_SPACES}|{_SPACES}$', '', 'g')) AS x, lower(regexp_replace("right", '^{_SPACES}|{_SPACES}$', '', 'g')) AS y,
+            regexp_replace(lower(regexp_replace(result, '^{_SPACES}|{_SPACES}$', '', 'g')), '[\\s\\p{{Z}}]*\\.$', '') AS z FROM duplicates),
+        said AS (SELECT least(x, y) AS a, greatest(x, y) AS b, coalesce(max(z) FILTER (z IN ('duplicate', 'distinct', 'uncertain')), 'uncertain') AS verdict FROM ends WHERE x <> y GROUP BY ALL),
         members AS (SELECT DISTINCT lower(regexp_replace(x, '^{_SPACES}|{_SPACES}$', '', 'g')) AS id FROM (SELECT "left" AS x FROM duplicates UNION ALL SELECT "right" FROM duplicates)),
         counted AS (
             SELECT 'invalid_decision' AS code, count(*) AS subjects FROM once WHERE coalesce(status NOT IN ('accepted', 'rejected'), true)
@@ -346,6 +387,9 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'accepted_without_record', count(*) FROM acc WHERE record_id IS NULL
             UNION ALL SELECT 'duplicate_of_unknown_record', count(*) FROM once WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT record_id FROM once WHERE record_id IS NOT NULL)
             UNION ALL SELECT 'pair_of_unknown_record', count(*) FROM members WHERE id IS NULL OR id NOT IN (SELECT record_id FROM once WHERE record_id IS NOT NULL)
-            UNION ALL SELECT 'split_fields_present', count(DISTINCT id) FROM candidates WHERE json_valid(raw) AND len(list_filter(coalesce(TRY(json_keys(TRY_CAST(raw AS JSON))), []), lambda k: contains(k, 'split') OR contains(k, 'holdout') OR k IN ('train', 'test'))) > 0)
+            UNION ALL SELECT 'split_fields_present', count(DISTINCT id) FROM candidates WHERE json_valid(raw) AND len(list_filter(coalesce(TRY(json_keys(TRY_CAST(raw AS JSON))), []), lambda k: contains(k, 'split') OR contains(k, 'holdout') OR k IN ('train', 'test'))) > 0
+            UNION ALL SELECT 'deterministic_failure', count(*) FROM reasoned LEFT JOIN judged USING (id) WHERE coalesce(schema_reason, nullif(reasons, '')) IS NOT NULL AND id IN (SELECT candidate_id FROM once WHERE status = 'accepted')
+            UNION ALL SELECT 'duplicate_accepted_questions', count(*) FROM (SELECT question_key FROM (SELECT DISTINCT record_id, {_FOLDED} AS question_key FROM sound JOIN once ON candidate_id = sound.id WHERE status = 'accepted') GROUP BY 1 HAVING count(DISTINCT record_id) > 1)
+            UNION ALL SELECT 'unresolved_accepted_duplicate', count(*) FROM near WHERE NOT EXISTS (SELECT 1 FROM said WHERE a = l AND b = r AND verdict = 'distinct'))
         SELECT code, subjects FROM counted WHERE subjects > 0""",
 }

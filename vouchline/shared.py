@@ -19,14 +19,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is (tests, one machine)."""
+    """The session's checkpoint folder. Where it names none, a temporary one is made for a local session (tests, one
+    machine) and removed at exit; a cluster's executors couldn't share such a folder, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             path = kept
         else:
-            path = "file://" + tempfile.mkdtemp(prefix="vouchline-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="vouchline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            path = "file://" + folder
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -83,5 +88,6 @@ class Staging:
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only when df is counted to hold at most ``rows`` rows; else Spark picks the join."""
+    """Hint a broadcast only when df is counted to hold at most ``rows`` rows; else Spark picks the join. For rows of a few
+    short fields, of which the count bounds the size."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
