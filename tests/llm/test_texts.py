@@ -265,7 +265,9 @@ def pages():
     return out
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("small", [stuffing.SMALL, 0])
+def test_pages(spark, monkeypatch, small):
+    monkeypatch.setattr(stuffing, "SMALL", small)
     data = pages()
     df = spark.createDataFrame([(i, t, "x") for i, t in data + data[60:62]], "doc_id bigint, text string, lang string").selectExpr("*", "1 as p", "2 as pmi", "3 as row")
     assert rows(stuffing.found(df)) == [(100,), (101,), (102,), (103,)]

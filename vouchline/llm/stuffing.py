@@ -48,6 +48,8 @@ SENTENCES, LENGTH = 0.1, 30
 LOOSE, FAR, LESS_LOOSE = 0.65, 5.0, 0.4
 #: Fewer words, links and tags than this make no page.
 LEAST = 8
+#: A table of so many pairs' PMI (16 bytes each) goes to the pages; a larger one is met by a join over salts.
+SMALL = 1_500_000
 #: Words that a worker keeps.
 CACHE = 500_000
 
@@ -182,8 +184,8 @@ def counted(read_pages: DataFrame) -> DataFrame:
     return read_pages.withColumn("own", F.coalesce("lang", F.lit(commonest)))
 
 
-def pair_pmi(read_pages: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame, int]:
-    """Pages(own, pairs) -> ((p, pmi), (p, n: pages with the pair), all n): log of n(ab) n / (n(a·) n(·b)), by occurrence
+def pair_pmi(read_pages: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame, int, int]:
+    """Pages(own, pairs) -> ((p, pmi), (p, n: pages with the pair), all n, rows): log of n(ab) n / (n(a·) n(·b)), by occurrence
     and within a language. ``p`` is a 64-bit hash of language and pair."""
     each = read_pages.select("own", F.explode("pairs").alias("x")).select("own", "x.*")
     keyed = each.select(F.xxhash64("own", "a", "b").alias("p"), F.xxhash64("own", "a").alias("a"), F.xxhash64("own", "b").alias("b"), "own", "n")
@@ -197,16 +199,19 @@ def pair_pmi(read_pages: DataFrame, staging: Staging) -> tuple[DataFrame, DataFr
     # A row a language.
     out = out.join(F.broadcast(sizes), "own")
     pmi = staging.put(out.select("p", F.log(F.col("often") * F.col("size") / (F.col("n_a") * F.col("n_b").cast("double"))).alias("pmi")))
-    return pmi, counts.select("p", "n"), total
+    return pmi, counts.select("p", "n"), total, distinct
 
 
 def features(documents: DataFrame, staging: Staging) -> DataFrame:
     """(doc_id, lang, own, words, loose, pmi, repeated) of every document with text; pmi is null without pairs."""
     known = staging.put(read(documents).withColumn("row", F.monotonically_increasing_id()))
     known = counted(known)
-    pmi, counts, total = pair_pmi(known, staging)
+    pmi, counts, total, distinct = pair_pmi(known, staging)
     each = known.select("row", "own", F.explode("pairs").alias("x")).select("row", F.xxhash64("own", "x.a", "x.b").alias("p"), "x.n")
-    joined = salted_join(each, pmi, "p", hot_keys(counts, "p", total), F.col("row"))
+    if distinct <= SMALL:
+        joined = each.join(F.broadcast(pmi), "p")
+    else:
+        joined = salted_join(each, pmi, "p", hot_keys(counts, "p", total), F.col("row"))
     again = F.when((F.col("n") >= REPEATED) & (F.col("pmi") >= COLLOCATION), F.col("n")).otherwise(0)
     per = joined.groupBy("row").agg((F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("pmi"), (F.sum(again) / F.sum("n")).alias("repeated"))
     return staging.put(known.drop("pairs").join(per, "row", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0.0))).drop("row"))
