@@ -8,6 +8,7 @@ import random
 from collections import Counter
 from math import ceil, floor
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -309,6 +310,14 @@ def test_links_are_one_sign_and_languages_are_counted_apart():
     assert sorted(n[row == 0].tolist()) == [2, 3] and sorted(n[row == 3].tolist()) == [1, 1, 2] and not len(n[row == 2])
 
 
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 9), st.integers(0, 9)), max_size=60))
+def test_counting_pairs_either_way(triples):
+    row, left, right = (np.array([t[i] for t in triples], np.int64) for i in range(3))
+    want = sorted((*t, n) for t, n in Counter(triples).items())
+    for codes in (10, 1 << 40):
+        assert [tuple(map(int, x)) for x in zip(*stuffing._counted(row, left, right, 7, codes), strict=True)] == want
+
+
 def test_pmi_decides(spark):
     """Without the two figures from PMI no page is a case, and of pages outside sentences only what is off prose is one."""
     plain = [(i, t) for i, t in pages() if not t or i < 100]

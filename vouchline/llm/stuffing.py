@@ -100,7 +100,7 @@ def plain(text: str) -> str:
     if text.isascii():
         return text.casefold()
     text = unicodedata.normalize("NFKC", text).casefold().replace("’", "'")
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join([c for c in unicodedata.normalize("NFD", text) if c < "\u0300" or not unicodedata.combining(c)])
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -111,6 +111,21 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counted(row: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int, codes: int) -> tuple[np.ndarray, ...]:
+    """The distinct (row, left, right) in order, and how often each occurs; as one number each where that has room."""
+    bits, most = codes.bit_length(), rows.bit_length()
+    if 2 * bits + most < 63:
+        packed = np.sort((row << 2 * bits) | (left << bits) | right)
+        first = np.flatnonzero(_starts(packed))
+        count, packed = np.diff(np.append(first, len(packed))), packed[first]
+        code = (1 << bits) - 1
+        return packed >> 2 * bits, (packed >> bits) & code, packed & code, count
+    order = np.lexsort((right, left, row))
+    row, left, right = row[order], left[order], right[order]
+    first = np.flatnonzero(_starts(row, left, right))
+    return row[first], left[first], right[first], np.diff(np.append(first, len(row)))
+
+
 def pages(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Of each text: (place of its language in NAMES or -1; its words, links and tags; the share of these outside
     sentences; (text, a, b, n) of its distinct neighbouring pairs, by text)."""
@@ -131,13 +146,9 @@ def pages(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray, np.n
     together = at[1:] == at[:-1]
     here, left, right = at[1:][together], sign[:-1][together], sign[1:][together]
     marked = [(c == _LINK) | (c == _TAG) for c in (left, right)]
-    a = hashes[np.where(marked[1] & ~marked[0], _ANY, left)]
-    b = hashes[np.where(marked[0] & ~marked[1], _ANY, right)]
-    order = np.lexsort((b, a, here))
-    here, a, b = here[order], a[order], b[order]
-    first = np.flatnonzero(_starts(here, a, b))
-    count = np.diff(np.append(first, len(here)))
-    here, a, b = here[first], a[first], b[first]
+    left, right = np.where(marked[1] & ~marked[0], _ANY, left), np.where(marked[0] & ~marked[1], _ANY, right)
+    here, left, right, count = _counted(here, left, right, n, len(hashes))
+    a, b = hashes[left], hashes[right]
 
     total = np.bincount(here, count, n)
     dominant = count >= np.maximum(DOMINANT, DOMINANT_SHARE * total)[here]
