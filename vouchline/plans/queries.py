@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 from vouchline.functions import ident, text
-from vouchline.operators import audit, corpus, dedup, planning, report, validate
+from vouchline.operators import audit, corpus, dedup, pipeline, planning, report, validate
+from vouchline.shared import Staging
 from vouchline.sources import html
 from vouchline.sources.tables import table
 
@@ -137,7 +138,85 @@ def _cited_standards(candidates: DataFrame) -> DataFrame:
     return said.select("id", F.explode(text.standards_cited(F.col("said"))).alias("cited"))
 
 
+def _critic(decisions: DataFrame) -> DataFrame:
+    return pipeline.critic_of(decisions.filter("semantic_result is not null").select(F.col("candidate_id").alias("id"), F.col("semantic_result").alias("result")))
+
+
+def _decided(candidates: DataFrame, decisions: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Every candidate decided again from its text, its evidence and the critic's result on record."""
+    return pipeline.decided(candidates, units, validate.evidence(paragraphs), _critic(decisions))
+
+
+def _redecided(candidates: DataFrame, decisions: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    rows = _decided(candidates, decisions, units, paragraphs)
+    return rows.select("candidate_id", "status", F.array_join("reasons", ",").alias("reasons"), F.col("duplicate_of").isNotNull().alias("is_copy"))
+
+
+def _validated(candidates: DataFrame, decisions: DataFrame, units: DataFrame, paragraphs: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """The same after near pairs: the records on file have ids of their own, so a pair judged there is looked up by its
+    candidates."""
+    rows = _decided(candidates, decisions, units, paragraphs)
+    staged = Staging(rows.sparkSession, "validated").put(rows)
+    named = decisions.filter("record.id is not null").select("candidate_id", F.lower(text.trimmed(F.col("record.id"))).alias("filed")).distinct().join(staged.filter("record_id is not null").select("candidate_id", "record_id"), "candidate_id").groupBy("filed").agg(F.min("record_id").alias("record_id"))
+    judged = dedup.recorded(duplicates)
+    for side in ("left", "right"):
+        judged = judged.join(named.select(F.col("filed").alias(side), F.col("record_id").alias(f"new_{side}")), side)
+    out = pipeline.settled(staged, judged.select(F.col("new_left").alias("left"), F.col("new_right").alias("right"), "result"))
+    return out.select("candidate_id", "status", F.array_join("reasons", ",").alias("reasons"), "duplicate_of")
+
+
+def _fixture_run(units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """A whole run of the offline provider, whose critic passes everything and finds every near pair distinct."""
+    known = validate.evidence(paragraphs)
+    happened = pipeline.events(pipeline.envelopes(pipeline.fixture(units, paragraphs), units))
+    critic = happened.select("id", F.array().cast("array<string>").alias("verdict"))
+    rows = pipeline.decided(happened, units, known, critic)
+    return rows.select("candidate_id", "unit_id", "status", F.array_join("reasons", ",").alias("reasons"), F.col("duplicate_of").isNotNull().alias("is_copy"))
+
+
+def _requests(candidates: DataFrame) -> DataFrame:
+    """The generation requests that the candidates name, a row a unit and request, all complete."""
+    return candidates.filter("unit_id is not null").select(F.col("unit_id").alias("key"), F.lit("generate").alias("stage"), F.lit("complete").alias("state"), F.lit(None).cast("string").alias("malformed"), F.lit(None).cast("string").alias("abstention")).distinct()
+
+
+def _gates(candidates: DataFrame, decisions: DataFrame, units: DataFrame) -> DataFrame:
+    return pipeline.gates(candidates, decisions, units, _requests(candidates))
+
+
+def _statistics(standards: DataFrame, paragraphs: DataFrame, units: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    rows = pipeline.statistics(standards, paragraphs, units, candidates, decisions)
+    return rows.withColumn("value", F.round("value", 9))
+
+
+def _damaged(standards: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The integrity checks over tables damaged by rule, so that each check has something to find."""
+    last = F.substring("id", -1, 1)
+    bent = paragraphs.withColumn("number", F.when(last == "7", F.lit("7")).otherwise(F.col("number"))).withColumn("id", F.when(last == "3", F.lower("id")).otherwise(F.col("id"))).filter(F.substring("standard", -1, 1) != "9")
+    return corpus.violations(standards.unionByName(standards.filter(F.substring("as_number", -1, 1) == "1")), bent)
+
+
+def _pages_with_notes(standards: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Footnotes: the standards' notes, put on their pages, read from them again."""
+    read = html.parse_pages(html.render_pages(standards, paragraphs, with_notes=True)).filter("ok")
+    return html.footnotes(read).select("standard", "number", "citation", "text", "id")
+
+
+def _eligible(candidates: DataFrame, units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Citations of nothing that has a text: blank paragraphs are no evidence here."""
+    return validate.unresolved(validate.cited(validate.parsed(candidates), units), validate.evidence(paragraphs.filter(~text.is_blank(F.col("text")))))
+
+
 QUERIES: dict[str, Query] = {
+    "decided_again": _of(_redecided, "candidates", "decisions", "units", "paragraphs"),
+    "validated_again": _of(_validated, "candidates", "decisions", "units", "paragraphs", "duplicates"),
+    "fixture_run": _of(_fixture_run, "units", "paragraphs"),
+    "finalize_gates": _of(_gates, "candidates", "decisions", "units"),
+    "statistics_document": _of(_statistics, "standards", "paragraphs", "units", "candidates", "decisions"),
+    "unanswered_units": _of(lambda u, c: pipeline.unanswered(u.select("id", "standard"), _requests(c).select(F.col("key").alias("id"), "state")), "units", "candidates"),
+    "rejected_with_candidates": _of(lambda d, c: pipeline.rejected(report.decided(d), c).select("candidate_id", F.array_join("reasons", ",").alias("reasons"), F.sha2("raw", 256).alias("raw_sha256")), "decisions", "candidates"),
+    "damaged_corpus_violations": _of(_damaged, "standards", "paragraphs"),
+    "html_footnotes": _of(_pages_with_notes, "standards", "paragraphs"),
+    "evidence_unresolved_eligible": _of(_eligible, "candidates", "units", "paragraphs"),
     "coverage_by_standard": _of(_coverage, "standards", "paragraphs", "units", "decisions"),
     "paragraphs_flattened": _of(_nested(corpus.flattened), "standards", "paragraphs"),
     "paragraph_counts": _of(corpus.paragraph_counts, "paragraphs"),
@@ -285,7 +364,59 @@ _NEAR = rf"""asked AS (SELECT DISTINCT record_id AS id, regexp_extract_all({_FOL
     by_bi AS (SELECT a.id AS l, b.id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS bigram FROM bi a JOIN bi b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
     near AS (SELECT l, r, unigram, coalesce(bigram, 0.0) AS bigram FROM by_uni LEFT JOIN by_bi USING (l, r) WHERE unigram >= 0.7 OR bigram >= 0.5)"""
 
+# Candidates decided from reasons, the critic's result and the first sound question that passed.
+_DECIDING = f"""{_EVIDENCE_REASONS}, {_REASON},
+    critic AS (SELECT candidate_id AS id, max(CASE lower(trim(semantic_result)) WHEN 'pass' THEN '' WHEN 'fail' THEN 'semantic_supported_fail' WHEN 'uncertain' THEN 'semantic_supported_uncertain' ELSE 'malformed_critic_output' END) AS verdict
+        FROM decisions WHERE semantic_result IS NOT NULL GROUP BY 1),
+    whole AS (SELECT r.id, coalesce(schema_reason, reasons, '') AS reasons, coalesce(verdict, 'malformed_critic_output') AS verdict, q.question_key FROM reasoned r LEFT JOIN judged USING (id) LEFT JOIN critic USING (id)
+        LEFT JOIN (SELECT id, {_FOLDED} AS question_key FROM sound) q USING (id)),
+    firsts AS (SELECT question_key, min(id) AS first FROM whole WHERE reasons = '' AND verdict = '' GROUP BY 1)"""
+_DECIDING_SELECT = "whole.id AS candidate_id, CASE WHEN whole.reasons <> '' THEN whole.reasons WHEN whole.id > first THEN 'exact_duplicate_question' ELSE verdict END AS reasons, coalesce(whole.reasons = '' AND whole.id > first, false) AS is_copy FROM whole LEFT JOIN firsts USING (question_key)"
+_STANDARD_DIGIT = "substr(as_number, -1, 1)"
+
 ORACLES: dict[str, str] = {
+    "decided_again": f"WITH {_DECIDING}, final AS (SELECT {_DECIDING_SELECT}) SELECT candidate_id, CASE WHEN reasons = '' THEN 'accepted' ELSE 'rejected' END AS status, reasons, is_copy FROM final",
+    "finalize_gates": """WITH c AS (SELECT DISTINCT id FROM candidates), d AS (SELECT DISTINCT candidate_id FROM decisions)
+        SELECT 'undecided_candidate' AS gate, id AS subject FROM c WHERE id NOT IN (SELECT candidate_id FROM d WHERE candidate_id IS NOT NULL)
+        UNION ALL SELECT 'decision_without_candidate', candidate_id FROM d WHERE candidate_id NOT IN (SELECT id FROM c)
+        UNION ALL SELECT 'conflicting_decisions', candidate_id FROM decisions GROUP BY 2 HAVING count(DISTINCT coalesce(lower(trim(status)), '')) > 1
+        UNION ALL SELECT 'unattempted_unit', id FROM units WHERE id NOT IN (SELECT unit_id FROM candidates WHERE unit_id IS NOT NULL)
+        UNION ALL SELECT 'nothing_accepted', 'run' FROM decisions HAVING count(*) FILTER (lower(trim(status)) = 'accepted') = 0""",
+    "unanswered_units": "SELECT id, standard, false AS blocked FROM units WHERE id NOT IN (SELECT unit_id FROM candidates WHERE unit_id IS NOT NULL)",
+    "rejected_with_candidates": f"WITH {_DECIDED}, c AS (SELECT id, min(raw) AS raw FROM candidates GROUP BY 1) SELECT candidate_id, array_to_string(reasons, ',') AS reasons, sha256(raw) AS raw_sha256 FROM decided JOIN c ON id = candidate_id WHERE status = 'rejected'",
+    "statistics_document": f"""WITH {_COVERAGE}, ranked AS (SELECT *, row_number() OVER (ORDER BY accepted DESC, standard) AS rank FROM covered),
+        top AS (SELECT sum(accepted) AS n, max(share) FILTER (rank = 1) AS largest, max(source_word_share) FILTER (rank = 1) AS words, sum(share) AS five, sum(source_word_share) AS five_words, sum(source_section_share) AS five_sections FROM ranked WHERE rank <= 5),
+        c AS (SELECT count(DISTINCT id) AS n, count(DISTINCT unit_id) AS u FROM candidates),
+        t AS (SELECT count(*) AS n, count(*) FILTER (status = 'accepted') AS yes, count(*) FILTER (status = 'rejected') AS no FROM decided),
+        rows AS (
+            SELECT 'totals' AS section, unnest(['raw_candidates', 'accepted', 'rejected', 'pending', 'acceptance_rate', 'units_with_candidates']) AS name,
+                unnest([c.n::DOUBLE, yes, no, c.n - t.n, coalesce(yes / nullif(c.n, 0), 0), c.u]) AS value FROM c, t
+            UNION ALL SELECT 'totals', unnest(['planned_units', 'planned_standards', 'candidate_ceiling']), unnest([count(*)::DOUBLE, count(DISTINCT standard), sum(candidate_limit)]) FROM units
+            UNION ALL SELECT 'totals', 'zero_coverage_standards', count(*) FILTER (accepted = 0) FROM covered
+            UNION ALL SELECT 'concentration', unnest(['largest_standard_share', 'top_five_share', 'top_five_source_word_share', 'top_five_source_section_share', 'concentration_flag']),
+                unnest([largest, five, five_words, five_sections, CASE WHEN n > 0 AND (largest > greatest(0.1, 2 * words) OR five > 0.5) THEN 1 ELSE 0 END]) FROM top
+            UNION ALL SELECT 'rejection_reasons', reason, count(*) FROM (SELECT unnest(reasons) AS reason FROM decided WHERE status = 'rejected') GROUP BY 2
+            UNION ALL SELECT 'task_types', task_type, count(*) FROM decided WHERE status = 'accepted' GROUP BY 2
+            UNION ALL SELECT 'accepted', standard, accepted FROM covered
+            UNION ALL SELECT 'share', standard, share FROM covered)
+        SELECT section, name, round(value, 9) AS value FROM rows""",
+    "html_footnotes": """WITH n AS (SELECT as_number AS standard, unnest(notes) AS text, generate_subscripts(notes, 1)::VARCHAR AS number FROM standards WHERE as_number IN (SELECT standard FROM paragraphs))
+        SELECT standard, number, standard || ' footnote ' || number AS citation, text, replace(standard, ' ', '') || ':footnote:' || number || ':' || sha256(to_json({'number': number, 'text': text})::VARCHAR) AS id FROM n""",
+    "fixture_run": f"""WITH said AS (SELECT u.id AS unit_id, to_json({{'answer': p.text, 'paragraph_ids': [p.id], 'question': 'What does ' || citation || ' state?', 'task_type': 'direct_requirement'}})::VARCHAR AS raw FROM units u JOIN paragraphs p ON p.id = focus_ids[1]),
+        candidates AS (SELECT 'candidate:' || sha256('["' || sha256(unit_id) || '","' || sha256(raw) || '",0]') AS id, raw, unit_id FROM said),
+        decisions AS (SELECT id AS candidate_id, 'pass' AS semantic_result FROM candidates),
+        {_DECIDING}, final AS (SELECT {_DECIDING_SELECT})
+        SELECT candidate_id, unit_id, CASE WHEN reasons = '' THEN 'accepted' ELSE 'rejected' END AS status, reasons, is_copy FROM final JOIN candidates ON candidates.id = candidate_id""",
+    "damaged_corpus_violations": rf"""WITH s AS (SELECT * FROM standards UNION ALL SELECT * FROM standards WHERE {_STANDARD_DIGIT} = '1'),
+        p AS (SELECT standard, CASE WHEN substr(id, -1, 1) = '7' THEN '7' ELSE number END AS number, CASE WHEN substr(id, -1, 1) = '3' THEN lower(id) ELSE id END AS id FROM paragraphs WHERE substr(standard, -1, 1) <> '9'),
+        n AS (SELECT as_number, said, count(p.id) AS held FROM (SELECT DISTINCT as_number, paragraphs AS said FROM s) LEFT JOIN p ON p.standard = as_number GROUP BY ALL)
+        SELECT 'duplicate_manifest_entry' AS code, as_number FROM s GROUP BY 2 HAVING count(*) > 1
+        UNION SELECT 'paragraph_count', as_number FROM n WHERE said <> held
+        UNION SELECT 'paragraph_label', standard FROM p WHERE NOT coalesce(regexp_full_match(number, '\.(?:\d{{2}}[A-Z]?|[A-Z]\d+)'), false)
+        UNION SELECT 'ambiguous_paragraph', standard FROM (SELECT standard, number FROM p GROUP BY ALL HAVING count(*) > 1)
+        UNION SELECT 'paragraph_identity', standard FROM p WHERE id <> replace(standard, ' ', '') || number
+        UNION SELECT 'inventory', coalesce(as_number, standard) FROM (SELECT DISTINCT as_number FROM s) FULL JOIN (SELECT DISTINCT standard FROM p) ON as_number = standard WHERE as_number IS NULL OR standard IS NULL""",
+    "evidence_unresolved_eligible": f"WITH {_CITED} SELECT own, kind, evidence_id, id, pos::INT AS pos FROM cited WHERE NOT EXISTS (SELECT 1 FROM paragraphs p WHERE p.standard = own AND p.id = evidence_id AND kind = 'paragraph' AND regexp_matches(p.text, '{_SPACE}'))",
     "candidate_schema_reasons": f"WITH {_REASON} SELECT schema_reason, count(*) AS candidates FROM reasoned GROUP BY 1",
     "evidence_reasons": f"WITH {_EVIDENCE_REASONS}, {_REASON} SELECT r.id, coalesce(schema_reason, reasons, '') AS reasons FROM reasoned r LEFT JOIN judged USING (id)",
     "near_pairs": f'WITH {_SOUND}, {_NEAR} SELECT l AS "left", r AS "right", unigram, bigram FROM near',

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vouchline.functions.ident import struct_digest
 from vouchline.functions.text import as_number, clean_text
 from vouchline.sources.tables import PARAGRAPH
 
@@ -226,12 +227,24 @@ def index_links(index_pages: DataFrame, base: str) -> DataFrame:
     return numbered.withColumn("rank", first).filter("rank = 1").select("as_number", "title", "url").orderBy("as_number")
 
 
-def render_pages(standards: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """standards and paragraphs -> (url, html): pages in the markup that parse_pages reads, a heading a section."""
-    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def footnotes(parsed: DataFrame) -> DataFrame:
+    """Parsed pages -> (standard, id, number, citation, text, paragraph_link) of their footnotes. Labels may be missing or
+    repeat, so an id holds a digest of the whole note; no note is linked to a paragraph."""
+    each = parsed.select(F.col("as_number").alias("standard"), F.explode("footnotes").alias("x")).select("standard", "x.number", "x.text")
+    slug = F.replace("standard", F.lit(" "), F.lit(""))
+    one = F.concat(slug, F.lit(":footnote:"), "number", F.lit(":"), struct_digest(F.struct("number", "text")))
+    return each.select("standard", one.alias("id"), "number", F.concat("standard", F.lit(" footnote "), "number").alias("citation"), "text", F.lit(None).cast("string").alias("paragraph_link"))
+
+
+def render_pages(standards: DataFrame, paragraphs: DataFrame, with_notes: bool = False) -> DataFrame:
+    """standards and paragraphs -> (url, html): pages in the markup that parse_pages reads, a heading a section; the
+    standards' notes as numbered footnotes if asked for."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c) if isinstance(c, str) else c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     line = F.concat(F.lit("<p>"), "number", F.lit("&nbsp; "), escaped("text"), F.lit("</p>"))
     sections = paragraphs.groupBy("standard", "section_id").agg(F.min("number").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     part = F.concat(F.lit("<h2>"), "section_id", F.lit("</h2>\n"), "lines")
     bodies = sections.groupBy("standard").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "section_id", part.alias("part")))), lambda x: x["part"]), "\n").alias("body"))
-    page = F.concat(F.lit('<html><body><h1 class="article-detail__title">'), "as_number", F.lit(": "), escaped("title"), F.lit('</h1><div class="article-detail__content">'), "body", F.lit("</div></body></html>"))
+    listed = F.transform("notes", lambda n, i: F.concat(F.lit("<p><sup>"), (i + 1).cast("string"), F.lit("</sup> "), escaped(n), F.lit("</p>")))
+    notes = F.concat(F.lit('<div class="footnotes">'), F.array_join(listed, ""), F.lit("</div>")) if with_notes else F.lit("")
+    page = F.concat(F.lit('<html><body><h1 class="article-detail__title">'), "as_number", F.lit(": "), escaped("title"), F.lit('</h1><div class="article-detail__content">'), "body", notes, F.lit("</div></body></html>"))
     return standards.join(bodies, standards["as_number"] == bodies["standard"]).select("url", page.alias("html"))
