@@ -375,6 +375,15 @@ _DECIDING_SELECT = "whole.id AS candidate_id, CASE WHEN whole.reasons <> '' THEN
 _STANDARD_DIGIT = "substr(as_number, -1, 1)"
 
 ORACLES: dict[str, str] = {
+    "near_resolve": f"""WITH RECURSIVE ends AS (SELECT lower(regexp_replace("left", '^{_SPACES}|{_SPACES}$', '', 'g')) AS x, lower(regexp_replace("right", '^{_SPACES}|{_SPACES}$', '', 'g')) AS y,
+            regexp_replace(lower(regexp_replace(result, '^{_SPACES}|{_SPACES}$', '', 'g')), '[\\s\\p{{Z}}]*\\.$', '') AS z FROM duplicates),
+        said AS (SELECT least(x, y) AS a, greatest(x, y) AS b, coalesce(max(z) FILTER (z IN ('duplicate', 'distinct', 'uncertain')), 'uncertain') AS verdict FROM ends WHERE x <> y GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (ORDER BY b, a) AS n FROM said WHERE verdict <> 'distinct'),
+        s(i, gone, hit) AS (
+            SELECT 0::BIGINT, []::VARCHAR[], false
+            UNION ALL SELECT i + 1, CASE WHEN list_has_any(gone, [a, b]) THEN gone WHEN verdict = 'duplicate' THEN list_append(gone, b) ELSE list_concat(gone, [a, b]) END, NOT list_has_any(gone, [a, b]) FROM s JOIN o ON n = i + 1)
+        SELECT b AS record, CASE verdict WHEN 'duplicate' THEN 'near_duplicate' ELSE 'near_duplicate_uncertain' END AS reason, CASE verdict WHEN 'duplicate' THEN a END AS duplicate_of FROM o JOIN s ON n = i WHERE hit
+        UNION ALL SELECT a, 'near_duplicate_uncertain', NULL FROM o JOIN s ON n = i WHERE hit AND verdict = 'uncertain'""",
     "decided_again": f"WITH {_DECIDING}, final AS (SELECT {_DECIDING_SELECT}) SELECT candidate_id, CASE WHEN reasons = '' THEN 'accepted' ELSE 'rejected' END AS status, reasons, is_copy FROM final",
     "finalize_gates": """WITH c AS (SELECT DISTINCT id FROM candidates), d AS (SELECT DISTINCT candidate_id FROM decisions)
         SELECT 'undecided_candidate' AS gate, id AS subject FROM c WHERE id NOT IN (SELECT candidate_id FROM d WHERE candidate_id IS NOT NULL)
