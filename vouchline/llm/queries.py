@@ -62,6 +62,19 @@ def _slug(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    # Every two questions with a word in common; whole tables at the scale of the comparison.
+    "p4_found": rf"""
+        WITH said AS (
+            SELECT DISTINCT id, raw->>'question' AS question FROM (SELECT id, TRY_CAST(raw AS JSON) AS raw FROM candidates WHERE id IS NOT NULL AND json_valid(raw))
+            WHERE json_type(raw) = 'OBJECT' AND json_type(raw->'question') = 'VARCHAR'),
+        bags AS (SELECT id, list_distinct(regexp_extract_all(replace({_plain("question")}, 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:\.\p{{Nd}}+)?')) AS w FROM said),
+        classes AS (SELECT list_sort(w) AS w, row_number() OVER () AS c, list(id) AS ids FROM bags WHERE len(w) > 0 GROUP BY 1),
+        each AS (SELECT c, len(w) AS n, unnest(w) AS t FROM classes),
+        near AS (SELECT a.c AS x, b.c AS y FROM each a JOIN each b ON a.t = b.t AND a.c < b.c AND a.n <= b.n / 0.7 AND b.n <= a.n / 0.7 GROUP BY a.c, b.c
+            HAVING 10 * count(*) >= 7 * (any_value(a.n) + any_value(b.n) - count(*))),
+        members AS (SELECT c, unnest(ids) AS id FROM classes),
+        pairs AS (SELECT l.id AS a, r.id AS b FROM near JOIN members l ON l.c = x JOIN members r ON r.c = y UNION ALL SELECT l.id, r.id FROM members l JOIN members r ON l.c = r.c AND l.id < r.id)
+        SELECT least(a, b) AS left_id, greatest(a, b) AS right_id FROM pairs""".replace("\\\\", "\\"),
     "p1_found": f"""
         WITH RECURSIVE labels AS (
             SELECT {_label("former_label")} AS label, min(as_number) AS was FROM former_labels GROUP BY 1),
