@@ -13,7 +13,7 @@ Pairs that meet are checked by the Hamming distance of 64-bit parity sketches of
 that of the fingerprints, and then by the fingerprints themselves. Copies of a word set are one class throughout.
 
 Word counts are kept in buckets, whose number follows the data up to a bound, and reach the workers as two bitmaps of at
-most 16 MB. A bucket shared by several words only makes them look more common, for all questions alike, so no pair is lost
+most 8 MB. A bucket shared by several words only makes them look more common, for all questions alike, so no pair is lost
 by it. Blocks, classes and members that hold a large part of all rows are split: the joins of classes are salted, those of
 blocks are left to the skew handling of adaptive execution, which splits a partition also where it is one key.
 """
@@ -40,8 +40,8 @@ SHARE = Fraction(7, 10)
 #: A word is rare when at most so many word sets have its bucket; the candidates of a block of one word are bounded by it.
 RARE = 512
 #: Buckets of word counts, and bits of the filter of uncommon splits: a power of two, so many times the words of all sets
-#: and within these bounds. A bitmap has 16 MB at most, whatever the data.
-BUCKETS_A_WORD, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 22, 1 << 27
+#: and within these bounds. A bitmap has 8 MB at most, whatever the data.
+BUCKETS_A_WORD, LEAST_BUCKETS, MOST_BUCKETS = 1, 1 << 22, 1 << 26
 #: Numbers of rare words and of blocks are exact up to here and in steps of a tenth beyond; only long sets come so far.
 EXACT = 40
 #: Word hashes that a worker keeps.
@@ -163,11 +163,12 @@ def _bitmaps(hits: DataFrame, buckets: int, *least: int) -> list[np.ndarray]:
     """hits(bucket, n) -> for each of ``least`` the bitmap of the buckets with at least so many: at most ``buckets``/64
     longs of each come to the driver."""
     bit = "shiftleft(1L, cast(bucket & 63 as int))"
-    cells = hits.groupBy(F.shiftright("bucket", 6).alias("at")).agg(*[F.expr(f"bit_or(if(n >= {x}, {bit}, 0L))").alias(f"bits{i}") for i, x in enumerate(least)]).toPandas()
+    cells = hits.groupBy(F.shiftright("bucket", 6).alias("at")).agg(*[F.expr(f"bit_or(if(n >= {x}, {bit}, 0L))").alias(f"bits{i}") for i, x in enumerate(least)]).toArrow()
+    at = cells["at"].to_numpy()
     out = []
     for i in range(len(least)):
         bitmap = np.zeros(buckets // 64, np.uint64)
-        bitmap[cells["at"].to_numpy(np.int64)] = cells[f"bits{i}"].to_numpy(np.int64).view(np.uint64)
+        bitmap[at] = cells[f"bits{i}"].to_numpy().view(np.uint64)
         out.append(bitmap)
     return out
 
