@@ -76,6 +76,9 @@ def test_found_splits(spark):
     assert rows(splits.found(decisions(spark, data), former)) == sorted([("c2", "AS 1001"), ("c3", "AS 2002"), ("c4", "AS 2002"), ("c6", "AS 4004"), ("c8", "AS 5005"), ("c9", "AS 1001")], key=repr)
     got = rows(splits.splits(decisions(spark, data), former))
     assert len(got) == 10 and {r[2] for r in got} <= set(splits.SHARES) and (r := {c: s for c, _, s in got})["c3"] == r["c4"] == r["c7"]
+    told = {r["split"]: r for r in splits.report(decisions(spark, data), former).collect()}
+    assert set(told) == set(splits.SHARES) and {s: r["decisions"] for s, r in told.items()} == {s: sum(x[2] == s for x in got) for s in told} and abs(sum(r["actual_share"] for r in told.values()) - 1) < 1e-9
+    assert {r["decisions"] for r in splits.report(decisions(spark, data).limit(0), former).collect()} == {0}
     assert rows(splits.found(decisions(spark, data).limit(0), former.limit(0))) == [] == rows(splits.splits(decisions(spark, data).limit(0), former))
 
 

@@ -20,6 +20,7 @@ def _of(build: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _of(splits.found, "decisions", "former_labels"),
     "p1_splits": _of(splits.splits, "decisions", "former_labels"),
+    "p1_report": _of(splits.report, "decisions", "former_labels"),
     "p2_found": _of(components.found, "duplicates"),
     "p3_found": _of(sampling.found, "decisions", "sample_targets", "former_labels"),
     "p3_report": _of(lambda d, t, f: sampling.Sample(d, t, f).report(), "decisions", "sample_targets", "former_labels"),

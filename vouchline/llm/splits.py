@@ -12,6 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from vouchline.llm.keys import label_key, named_number
 from vouchline.operators.skew import hot_keys, running_total, salted_join
@@ -128,3 +129,16 @@ def splits(decisions: DataFrame, former: DataFrame, shares: Mapping[str, float]
     rows = _grouped(decisions, former, staging)
     once = staging.put(rows.groupBy("id").agg(F.min("name").alias("name")))
     return assigned(once, staging, shares).select(F.col("id").alias("candidate_id"), F.col("name").alias("group_standard"), "split")
+
+
+def report(decisions: DataFrame, former: DataFrame, shares: Mapping[str, float] = SHARES) -> DataFrame:
+    """(split, target_share, decisions, actual_share, groups, largest_group) of every split, also of one that got nothing:
+    a group larger than a split's share moves the shares, and here it shows."""
+    rows = splits(decisions, former, shares)
+    per = rows.groupBy("split", F.coalesce("group_standard", "candidate_id").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    got = per.groupBy("split").agg(F.sum("n").alias("decisions"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest_group"))
+    total = sum(shares.values()) or 1
+    wanted = rows.sparkSession.createDataFrame([(name, share / total) for name, share in shares.items()], "split string, target_share double")
+    filled = wanted.join(F.broadcast(got), "split", "left").na.fill(0, ["decisions", "groups", "largest_group"])
+    share = F.coalesce(F.try_divide(F.col("decisions"), F.sum("decisions").over(W.partitionBy())), F.lit(0.0))
+    return filled.select("split", "target_share", "decisions", share.alias("actual_share"), "groups", "largest_group")
