@@ -319,13 +319,12 @@ def test_counting_pairs_either_way(triples):
 
 
 def test_pmi_decides(spark):
-    """Without the two figures from PMI no page is a case, and of pages outside sentences only what is off prose is one."""
+    """Without the figures from PMI no page is a case, and of pages outside sentences only what is off prose is one."""
     plain = [(i, t) for i, t in pages() if not t or i < 100]
     listed = [(500, "\n".join(f"item{i} kind{i} place{i} piece{i}" for i in range(12)))]
     known = stuffing.features(spark.createDataFrame([*pages(), *listed], "doc_id bigint, text string"), stuffing.Staging(spark, "t"))
-    far = {r["doc_id"]: r for r in stuffing.from_prose(known).collect()}
-    assert all(max(far[i]["salad"], far[i]["stuffed"]) > stuffing.DISTANCE for i in (100, 101, 102, 103, 500))
-    near = [i for i, _ in plain if i in far and far[i]["salad"] ** 2 + far[i]["stuffed"] ** 2 <= stuffing.DISTANCE**2]
-    assert len(near) > 40
-    blind = stuffing.from_prose(known.withColumns({"pmi": F.lit(1.0), "repeated": F.lit(0.0)}))
-    assert blind.filter("salad > 0 or stuffed > 0").count() == 0
+    far = {r["doc_id"]: r["distance"] for r in stuffing.from_prose(known).collect()}
+    assert all(far[i] > stuffing.DISTANCE for i in (100, 101, 102, 103, 500))
+    assert sum(far[i] <= stuffing.DISTANCE for i, _ in plain if i in far) > 40
+    blind = stuffing.from_prose(known.withColumns({"pmi": F.lit(1.0), "uneven": F.lit(1.0), "repeated": F.lit(0.0)}))
+    assert blind.filter("distance > 0").count() == 0

@@ -3,13 +3,14 @@
 Neighbouring pairs are counted by occurrence over all documents, each language for itself, and give each pair's PMI
 within its language. Words that prose doesn't use are rare there, so the pairs inside keyword phrases, product names and
 tags have a high PMI, and the seams between phrases a low one. A link or tag is one sign whatever it says, and the word
-beside it counts as any word, so that a list of links is one collocation over and over. Two figures of a page decide:
+beside it counts as any word, so that a list of links is one collocation over and over. Three figures of a page decide:
 
 * its mean PMI, which lies off that of prose when the words are strung together at random (word salad);
+* the deviation of PMI within it, which is off when phrases of high PMI meet at seams of low PMI, or nothing varies at all;
 * the share of its pairs that are collocations repeated within the page (stuffing).
 
-The prose of the page's language, as the corpus has it, gives the mean and spread of both, and a page is suspect when it
-is further from prose than DISTANCE spreads, both taken together. A page without a language's function words is counted
+The prose of the page's language, as the corpus has it, gives the mean and spread of each, and a page is suspect when it
+is further from prose than DISTANCE spreads, all taken together. A page without a language's function words is counted
 with, and measured by, the commonest language. Of the suspects, those that still read as sentences for the most part (lines
 and sentences with the function words of their language) are let off: prose on a rare matter, or with a list at its end.
 """
@@ -39,7 +40,7 @@ DOMINANT, DOMINANT_SHARE = 5, 0.08
 #: A collocation is a pair from this PMI on (natural logarithm); it is repeated from so many times on in a page.
 COLLOCATION, REPEATED = 4.0, 3
 #: How many spreads from prose a page is suspect.
-DISTANCE = 2.0
+DISTANCE = 2.5
 #: A language's figures are trusted from so many pages of prose on, else those of all prose; spreads aren't taken to be less.
 TRUSTED, LEAST_SPREAD, LEAST_REPEATED_SPREAD = 20, 0.1, 0.05
 #: What counts as a page of prose for these figures.
@@ -214,7 +215,8 @@ def pair_pmi(read_pages: DataFrame, staging: Staging) -> tuple[DataFrame, DataFr
 
 
 def features(documents: DataFrame, staging: Staging) -> DataFrame:
-    """(doc_id, lang, own, words, loose, pmi, repeated) of every document with text; pmi is null without pairs."""
+    """(doc_id, lang, own, words, loose, pmi, uneven, repeated) of every document with text: the mean and deviation of PMI,
+    null without pairs, and the share of repeated collocations."""
     known = staging.put(read(documents).withColumn("row", F.monotonically_increasing_id()))
     known = counted(known)
     pmi, counts, total, distinct = pair_pmi(known, staging)
@@ -224,32 +226,37 @@ def features(documents: DataFrame, staging: Staging) -> DataFrame:
     else:
         joined = salted_join(each, pmi, "p", hot_keys(counts, "p", total), F.col("row"))
     again = F.when((F.col("n") >= REPEATED) & (F.col("pmi") >= COLLOCATION), F.col("n")).otherwise(0)
-    per = joined.groupBy("row").agg((F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("pmi"), (F.sum(again) / F.sum("n")).alias("repeated"))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    per = joined.groupBy("row").agg(mean(F.col("pmi")).alias("pmi"), mean(F.col("pmi") * F.col("pmi")).alias("square"), (F.sum(again) / F.sum("n")).alias("repeated"))
+    per = per.select("row", "pmi", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("pmi") * F.col("pmi"))).alias("uneven"), "repeated")
     return staging.put(known.drop("pairs").join(per, "row", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0.0))).drop("row"))
 
 
 def from_prose(known: DataFrame) -> DataFrame:
-    """With ``salad`` and ``stuffed``: how many spreads of prose a page's mean PMI is off its mean, to either side, and its
-    share of repeated collocations above its mean. The figures come from all pages of prose of a language; a language with
-    too few of them is taken to be like all prose. Without any prose, as with a page without pairs, nothing is off."""
+    """With ``salad``, ``seams`` and ``stuffed``, how many spreads of prose a page's mean PMI and its deviation are off, to
+    either side, and its share of repeated collocations above its mean; and ``distance``, all three together. The figures
+    come from all pages of prose of a language; a language with too few of them is taken to be like all prose. Without any
+    prose, as with a page without pairs, nothing is off."""
     prose = known.filter((F.col("loose") <= SENTENCES) & (F.col("words") >= LENGTH) & F.col("lang").isNotNull())
-    rows = prose.rollup("own").agg(F.count("pmi").alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("pmi", "repeated") for name, f in (("mean", F.avg), ("spread", F.stddev_pop))]).collect()
+    figures = (("salad", "pmi", LEAST_SPREAD), ("seams", "uneven", LEAST_SPREAD), ("stuffed", "repeated", LEAST_REPEATED_SPREAD))
+    rows = prose.rollup("own").agg(F.count("pmi").alias("n"), *[f(c).alias(f"{c}_{name}") for _, c, _ in figures for name, f in (("mean", F.avg), ("spread", F.stddev_pop))]).collect()
     usual = {r["own"]: r for r in rows if r["n"]}
-    off = {"salad": F.lit(0.0), "stuffed": F.lit(0.0)}
+    off = {name: F.lit(0.0) for name, _, _ in figures}
     if None in usual:
-        for name, column, least in (("salad", "pmi", LEAST_SPREAD), ("stuffed", "repeated", LEAST_REPEATED_SPREAD)):
+        for name, column, least in figures:
             deviation = F.when(F.lit(False), 0.0)
             for own in [*range(len(NAMES)), None]:
                 r = usual[own] if own in usual and usual[own]["n"] >= TRUSTED else usual[None]
                 value = (F.col(column) - r[f"{column}_mean"]) / max(r[f"{column}_spread"], least)
                 deviation = deviation.when(F.col("own") == own, value) if own is not None else deviation.otherwise(value)
-            off[name] = F.coalesce(F.abs(deviation) if name == "salad" else F.greatest(deviation, F.lit(0.0)), F.lit(0.0))
-    return known.withColumns(off)
+            off[name] = F.coalesce(F.greatest(deviation, F.lit(0.0)) if name == "stuffed" else F.abs(deviation), F.lit(0.0))
+    squares = [F.pow(name, F.lit(2)) for name in off]
+    return known.withColumns(off).withColumn("distance", F.sqrt(squares[0] + squares[1] + squares[2]))
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """Every document with text, its figures, its ``distance`` from prose and the verdict ``case``."""
-    rows = from_prose(features(documents, Staging(documents.sparkSession, "stuffing"))).withColumn("distance", F.sqrt(F.pow("salad", F.lit(2)) + F.pow("stuffed", F.lit(2))))
+    """Every document with text, its figures, its distance from prose and the verdict ``case``."""
+    rows = from_prose(features(documents, Staging(documents.sparkSession, "stuffing")))
     suspect = (F.col("distance") > DISTANCE) & (F.col("words") >= LEAST)
     sentences = (F.col("loose") < LOOSE) & ((F.col("distance") <= FAR) | (F.col("loose") < LESS_LOOSE))
     return rows.withColumn("suspect", suspect).withColumn("case", suspect & ~sentences)
