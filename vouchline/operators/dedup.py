@@ -66,7 +66,9 @@ def _prefixes(sets: DataFrame, name: str, least: float, staging: Staging) -> Dat
     ranked = counted.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x")).withColumn("n", F.size("x"))
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPSILON) + 1).cast("int")
     kept = ranked.select("sid", "n", _sketch(0).alias("k0"), _sketch(1).alias("k1"), F.slice("x", F.lit(1), length).alias("x"))
-    return staging.put(kept.select("sid", "n", "k0", "k1", F.posexplode("x").alias("at", "y")).select("y.h", "sid", "n", "at", "k0", "k1"))
+    out = staging.put(kept.select("sid", "n", "k0", "k1", F.posexplode("x").alias("at", "y")).select("y.h", "sid", "n", "at", "k0", "k1"))
+    staging.drop(frequency)
+    return out
 
 
 def _met(rows: DataFrame, least: float) -> DataFrame:
@@ -91,8 +93,9 @@ def near_pairs(sets: DataFrame, least_uni: float = 0.70, least_bi: float = 0.50)
     """
     staging = Staging(sets.sparkSession, "near")
     sets = staging.put(sets.withColumn("sid", F.monotonically_increasing_id()))
-    found = [_met(_prefixes(sets, name, least, staging), least) for name, least in (("uni", least_uni), ("bi", least_bi))]
-    pairs = staging.put(found[0].unionByName(found[1]).distinct())
+    tried = [(_prefixes(sets, name, least, staging), least) for name, least in (("uni", least_uni), ("bi", least_bi))]
+    pairs = staging.put(_met(*tried[0]).unionByName(_met(*tried[1])).distinct())
+    staging.drop(*[rows for rows, _ in tried])
     a, b = (sets.select(F.col("sid").alias(side), F.col("id").alias(f"id_{side}"), F.col("uni").alias(f"uni_{side}"), F.col("bi").alias(f"bi_{side}")) for side in "ab")
     one = pairs.join(a, "a").join(b, "b")
     left = one.select(F.least("id_a", "id_b").alias("left"), F.greatest("id_a", "id_b").alias("right"), jaccard(F.col("uni_a"), F.col("uni_b")).alias("unigram"), jaccard(F.col("bi_a"), F.col("bi_b")).alias("bigram"))
