@@ -183,3 +183,35 @@ def test_close_sets_always_share_a_block():
                     assert left.get(i, set()) & right.get(j, set()) or left.get(j, set()) & right.get(i, set())
                     apart = int(np.bitwise_count(sketch[i] ^ sketch[j]))
                     assert apart <= len(x ^ y) <= neardup.most_differing(len(x) + len(y), share)
+
+
+def test_blocks_a_set_stay_as_the_data_grows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", 12)
+    monkeypatch.setattr(neardup, "RARE_PARTS", 40, raising=False)
+    random.seed(5)
+
+    def rows_a_set(n):
+        sets = [(i, random.sample(range(250), 3) + random.sample(range(1000, 1020), 9)) for i in range(n)]
+        hashed = [(i, neardup._mixed(np.array(s, np.uint64)).view(np.int64).tolist()) for i, s in sets]
+        return neardup.blocks(spark.createDataFrame(hashed, "cid bigint, words array<bigint>")).count() / n
+
+    assert rows_a_set(4000) < 2 * rows_a_set(500)
+
+
+def test_long_blocks_of_a_word_give_all_pairs():
+    random.seed(6)
+    share = Fraction(7, 10)
+    draw = np.random.default_rng(6)
+    block = np.repeat(draw.integers(0, 1 << 40, 9), [1, 700, 3, 64, 65, 2, 5000, 1, 130])
+    size = draw.choice([1, 2, 10, 30, 37, 40, 60, 4000], len(block))
+    sketch = draw.integers(0, 4, len(block)).astype(np.uint64) * np.uint64(0x0F0F3C01)
+    cid = draw.permutation(len(block))
+    want = set()
+    for one in np.unique(block):
+        at = np.flatnonzero(block == one)
+        i, j = (at[x] for x in np.triu_indices(len(at), 1))
+        total = size[i] + size[j]
+        near_enough = (np.bitwise_count(sketch[i] ^ sketch[j]) <= total + 2 * (-7 * total // 17)) & (10 * np.minimum(size[i], size[j]) >= 7 * np.maximum(size[i], size[j]))
+        want |= {(min(a, b), max(a, b)) for a, b in zip(cid[i[near_enough]].tolist(), cid[j[near_enough]].tolist(), strict=True)}
+    got = [pair for a, b in neardup._within(block, cid, size, sketch, share) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and want <= set(got)

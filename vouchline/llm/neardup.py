@@ -4,7 +4,7 @@ A question's fingerprint is its set of words as a sparse bit vector, a bit for e
 a and b words with at least the share t of their words in common differ in at most k = a + b - 2 ceil(t(a+b)/(1+t))
 bits. The fingerprint is split into blocks so that any two that close agree in one:
 
-* every rare word (at most RARE questions have its hash bucket) is a block of its own;
+* every rare word (at most a set share of the questions have its hash bucket) is a block of its own;
 * if two questions agree in no rare word, all their r and r' rare words differ, so the rest of the fingerprint, split
   into q + 1 blocks by word hash with q = k - r - r', has a block that is the same in both.
 
@@ -13,9 +13,12 @@ Pairs that meet are checked by the Hamming distance of 64-bit parity sketches of
 that of the fingerprints, and then by the fingerprints themselves. Copies of a word set are one class throughout.
 
 Word counts are kept in buckets, whose number follows the data up to a bound, and reach the workers as two bitmaps of at
-most 8 MB. A bucket shared by several words only makes them look more common, for all questions alike, so no pair is lost
+most 8 MB; two more hold the keys of uncommon splits. A bucket shared by several words only makes them look more common, for all questions alike, so no pair is lost
 by it. Blocks, classes and members that hold a large part of all rows are split: the joins of classes are salted, those of
 blocks are left to the skew handling of adaptive execution, which splits a partition also where it is one key.
+
+The limit of rare words follows the data, so that a question keeps as many of them, and as few blocks, at any size. What
+grows with the square of the data are the comparisons of sketches within a word, a few nanoseconds each.
 """
 
 from __future__ import annotations
@@ -37,11 +40,18 @@ from vouchline.shared import Staging
 
 #: The least share of the words of either question that a pair has in common.
 SHARE = Fraction(7, 10)
-#: A word is rare when at most so many word sets have its bucket; the candidates of a block of one word are bounded by it.
-RARE = 512
+#: A word is rare when at most so many word sets have its bucket: one part in RARE_PARTS of all sets, within these bounds.
+#: A worker holds a block of one word, so MOST_RARE bounds its memory.
+RARE, RARE_PARTS, MOST_RARE = 512, 1024, 1 << 17
+#: Blocks of one word up to SHORT rows are compared row after row; longer ones SLAB rows at a time with WIDE others.
+SHORT, SLAB, WIDE = 64, 64, 2048
+#: Pairs handed on at once.
+HANDED = 100_000
 #: Buckets of word counts, and bits of the filter of uncommon splits: a power of two, so many times the words of all sets
 #: and within these bounds. A bitmap has 8 MB at most, whatever the data.
 BUCKETS_A_WORD, LEAST_BUCKETS, MOST_BUCKETS = 1, 1 << 22, 1 << 26
+#: Bitmaps of the filter of uncommon splits, each with a hash of its own: a key that no poor set has passes all by chance only.
+PROBES = 2
 #: Numbers of rare words and of blocks are exact up to here and in steps of a tenth beyond; only long sets come so far.
 EXACT = 40
 #: Word hashes that a worker keeps.
@@ -153,10 +163,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(column)), sizes)
 
 
-def buckets_for(sets: DataFrame) -> int:
-    """How many buckets the words of sets(words) need."""
-    total = sets.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (BUCKETS_A_WORD * total).bit_length()))
+def sized_for(sets: DataFrame) -> tuple[int, int]:
+    """How many buckets the words of sets(words) need, and in how many sets a rare word may be."""
+    count, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (BUCKETS_A_WORD * total).bit_length()))
+    return buckets, max(RARE, min(MOST_RARE, count // RARE_PARTS))
 
 
 def _bitmaps(hits: DataFrame, buckets: int, *least: int) -> list[np.ndarray]:
@@ -183,6 +194,11 @@ def _bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
     return (numbers ^ (numbers >> np.uint64(32))) % np.uint64(buckets)
 
 
+def _probe(keys: np.ndarray, i: int) -> np.ndarray:
+    """What stands for keys in the i-th bitmap of a filter."""
+    return _mixed(keys + _salt(5, i)) if i else keys
+
+
 def _sparse_counts(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Buckets, batch after batch -> rows (bucket, n), counted within each batch."""
     for buckets in batches:
@@ -219,8 +235,8 @@ class Blocks:
         return self.row[self.is_shared], _mixed(self.words[self.is_shared] + _salt(1))
 
     def several(self, filtered: np.ndarray | None, only_poor: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, keys and sides of the blocks of the other words. ``filtered``: the bitmap of keys of poor sets, outside
-        which a set that isn't poor needs no block for a split that only poor ones share."""
+        """Rows, keys and sides of the blocks of the other words. ``filtered``: the bitmaps of keys of poor sets (one, or a
+        row a probe), outside which a set that isn't poor needs no block for a split that only poor ones share."""
         rows, keys, sides = [], [], []
         plans: dict[int, dict[tuple[int, int, bool], list[np.ndarray]]] = {}
         profile = self.size * (1 << 31) + self.rare
@@ -250,8 +266,9 @@ class Blocks:
                 key = _mixed(sums[place[members]] + salts).reshape(-1)
                 row = np.repeat(members, n)
                 if needs_poor and filtered is not None:
-                    keep = _has(filtered, key)
-                    row, key = row[keep], key[keep]
+                    for i, bitmap in enumerate(np.atleast_2d(filtered)):
+                        keep = _has(bitmap, _probe(key, i))
+                        row, key = row[keep], key[keep]
                 rows.append(row)
                 keys.append(key)
                 sides.append(np.full(len(row), 2 if rare == other else int(rare > other), np.int8))
@@ -269,8 +286,8 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
     """sets(cid: bigint, words) -> (block, cid, n, sketch): a row for each block that a set must be looked up in. n is four
     times the size of the set plus its side: 0 and 1 meet each other, 2 meets 2, and 3 is a block of one rare word."""
     spark = sets.sparkSession
-    buckets = buckets_for(sets)
-    sent = spark.sparkContext.broadcast(_bitmaps(counted(sets, buckets), buckets, RARE + 1, 2))
+    buckets, rare = sized_for(sets)
+    sent = spark.sparkContext.broadcast(_bitmaps(counted(sets, buckets), buckets, rare + 1, 2))
 
     def keys_of_poor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Blocks(*sent.value, share)
@@ -280,12 +297,12 @@ def blocks(sets: DataFrame, share: Fraction = SHARE) -> DataFrame:
                 split.of(batch.column(0))
                 _, keys, _ = split.several(None, only_poor=True)
                 if len(keys):
-                    yield _bucket(keys, buckets)
+                    yield np.concatenate([_bucket(_probe(keys, i), buckets) + np.uint64(i * buckets) for i in range(PROBES)])
 
         return _sparse_counts(each())
 
     hits = sets.select("words").mapInArrow(keys_of_poor, "bucket bigint, n bigint")
-    filtered = spark.sparkContext.broadcast(_bitmaps(hits, buckets, 1)[0])
+    filtered = spark.sparkContext.broadcast(_bitmaps(hits, PROBES * buckets, 1)[0].reshape(PROBES, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Blocks(*sent.value, share)
@@ -325,24 +342,79 @@ def _lagged(block: np.ndarray, cid: np.ndarray, size: np.ndarray, sketch: np.nda
         lag += 1
 
 
+def _crossed(cid: np.ndarray, size: np.ndarray, sketch: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one long block whose sketches are near enough. In order of size, a slab of rows meets those from its
+    own on, as far as sizes go that can have ``share`` in common. What a slab allows is rounded up for its largest set and
+    counted exactly for the pairs that it lets through."""
+    top, bottom = share.numerator, share.numerator + share.denominator
+    order = np.argsort(size, kind="stable")
+    cid, size, sketch = cid[order], size[order], sketch[order]
+    for start in range(0, len(cid), SLAB):
+        rows = sketch[start : start + SLAB, None]
+        largest = int(size[min(start + SLAB, len(cid)) - 1])
+        stop = int(np.searchsorted(size, floor(largest / share), "right"))
+        allowed = np.minimum((largest + size[start:stop]) * (bottom - 2 * top) // bottom, 64).astype(np.uint8)
+        for low in range(start, stop, WIDE):
+            high = min(low + WIDE, stop)
+            apart = np.bitwise_count(rows ^ sketch[None, low:high])
+            at = np.flatnonzero(apart <= allowed[None, low - start : high - start])
+            if not len(at):
+                continue
+            i, j = at // (high - low) + start, at % (high - low) + low
+            total = size[i] + size[j]
+            hit = (i < j) & (apart.reshape(-1)[at] <= total + 2 * (-top * total // bottom))
+            i, j = cid[i[hit]], cid[j[hit]]
+            if len(i):
+                yield np.minimum(i, j), np.maximum(i, j)
+
+
+def _within(block: np.ndarray, cid: np.ndarray, size: np.ndarray, sketch: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within equal, adjacent blocks whose sketches are near enough."""
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    lengths = np.diff(np.append(starts, len(block)))
+    short = np.repeat(lengths <= SHORT, lengths)
+    yield _lagged(block[short], cid[short], size[short], sketch[short], share)
+    for start, length in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+        part = slice(start, start + length)
+        yield from _crossed(cid[part], size[part], sketch[part], share)
+
+
 def meet_by_word(rows: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """Blocks of one rare word -> (a, b) of the pairs that meet there. Such a block has at most RARE rows, so the rows of
-    one block are all that is held between batches of a sorted partition."""
+    """Blocks of one rare word -> (a, b) of the pairs that meet there. Such a block has at most MOST_RARE rows, so the rows
+    of one block are all that is held between batches of a sorted partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held = [np.array([], np.int64)] * 4
 
-        def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        def pairs(part: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             block, cid, n, sketch = part
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _lagged(block, cid, n >> 2, sketch.view(np.uint64), share)], ["a", "b"])
+            return _within(block, cid, n >> 2, sketch.view(np.uint64), share)
 
         for batch in batches:
             held = [np.concatenate([a, batch.column(i).to_numpy().astype(np.int64)]) for i, a in enumerate(held)]
             if len(held[0]):
                 end = np.searchsorted(held[0], held[0][-1])
-                yield pairs([x[:end] for x in held])
+                yield from pairs([x[:end] for x in held])
                 held = [x[end:] for x in held]
-        yield pairs(held)
+        yield from pairs(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*ready, strict=True)], ["a", "b"])
+
+        for pair in blockwise(batches):
+            if not len(pair[0]):
+                continue
+            ready.append(pair)
+            waiting += len(pair[0])
+            if waiting >= HANDED:
+                yield handed()
+                ready, waiting = [], 0
+        if waiting:
+            yield handed()
 
     sorted_rows = rows.select("block", "cid", "n", "sketch").repartition("block").sortWithinPartitions("block")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint")
@@ -352,10 +424,10 @@ def near(sets: DataFrame, staging: Staging, share: Fraction = SHARE) -> DataFram
     """sets(cid, words), one row a set -> (a, b, common): all pairs of sets with at least ``share`` in common, a < b."""
     rows = staging.put(blocks(sets, share))
     top, bottom = share.numerator, share.numerator + share.denominator
-    # Both sides of a join are the same columns of the same table, so that it is shuffled once and used twice; what tells
-    # the sides apart is a condition on both, which can't be moved below the shuffle.
-    several = rows.filter(F.col("n").bitwiseAND(3) != 3)
-    left, right = several.alias("l"), several.alias("r")
+    # A block of sides 0 and 1 may be long on one of them; only the sides that meet are brought together, or the join would
+    # go through the square of the long one.
+    kind = F.col("n").bitwiseAND(3)
+    left, right = rows.filter(kind.isin(0, 2)).alias("l"), rows.filter(kind.isin(1, 2)).alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     total = F.shiftright(l("n"), 2) + F.shiftright(r("n"), 2)
     needed = F.floor((total * top + (bottom - 1)) / F.lit(bottom)).cast("int")
