@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,49 @@ def test_near_pairs_equal_all_pairs(spark):
     assert got == want and want
 
 
+def test_near_pairs_meet_only_where_they_can(spark, monkeypatch):
+    """Blocks in slabs and tiles give what rows one after another give, and few rows of a common word meet: of these questions
+    every two share words of their prefixes, but only the last two of a group can be near."""
+    random.seed(8)
+    said = [" ".join([*(f"g{i // 3}n{k}" for k in range(i % 3 * 9, 9 if i % 3 == 0 else 18)), *(f"c{random.randrange(8)}x{k}" for k in range(12)), "all"]) for i in range(240)]
+    said += [" ".join(f"c{random.randrange(2)}x{k}" for k in range(12)) for _ in range(60)]
+    df = spark.createDataFrame([(f"q{i:03d}", s) for i, s in enumerate(said)], "id string, question string")
+    sets = dedup.token_sets(df, F.col("question"))
+    seen = []
+    for short, slab, wide, tile, held in ((256, 64, 4096, 1 << 17, 200_000), (4, 3, 5, 16, 50)):
+        for name, value in (("SHORT", short), ("SLAB", slab), ("WIDE", wide), ("TILE", tile), ("HELD", held)):
+            monkeypatch.setattr(dedup, name, value)
+        seen.append(rows(dedup.near_pairs(sets)))
+    words = {f"q{i:03d}": s.split() for i, s in enumerate(said)}
+    want = []
+    for a in words:
+        for b in words:
+            if a < b:
+                both = [(set(words[a]), set(words[b])), *[tuple(set(zip(words[x], words[x][1:], strict=False)) for x in (a, b))]]
+                uni, bi = (len(x & y) / len(x | y) for x, y in both)
+                if uni >= 0.7 or bi >= 0.5:
+                    want.append((a, b, uni, bi))
+    assert seen[0] == seen[1] == sorted(want, key=repr) and want
+    # The same for the rows of blocks as such, on either side of a split block or not.
+    draw = np.random.default_rng(1)
+    made = np.stack([draw.integers(0, 3, 900), draw.integers(0, 3, 900), draw.integers(8, 14, 900), draw.integers(0, 5, 900)])
+    block, side, n, at = made[:, np.lexsort(made[::-1])]
+    k = [draw.integers(0, 1 << 8, 900) for _ in "01"]
+    met = []
+    for short, slab, wide in ((1000, 64, 4096), (4, 3, 5)):
+        for name, value in (("SHORT", short), ("SLAB", slab), ("WIDE", wide)):
+            monkeypatch.setattr(dedup, name, value)
+        met.append(sorted(tuple(sorted(p)) for l, r in dedup._Rows([block, side, n, at, np.arange(900), *k], 0.5).pairs() for p in zip(l.tolist(), r.tolist(), strict=True)))
+    assert met[0] == met[1] and met[0]
+    # One word that 2,000 sets of 30 words hold at their twelfth place: none of the two million pairs can reach the threshold.
+    at = np.full(2000, 11, np.int32)
+    columns = [np.zeros(2000, np.int64), np.full(2000, 2, np.int8), np.full(2000, 30, np.int32), at, np.arange(2000), np.zeros(2000, np.int64), np.zeros(2000, np.int64)]
+    assert sum(len(l) for l, _ in dedup._Rows(columns, 0.7).pairs()) == 0
+    # Parities whose highest bit is set count like others.
+    columns = [np.zeros(2, np.int64), np.full(2, 2, np.int8), np.full(2, 30, np.int32), np.zeros(2, np.int32), np.arange(2), np.array([-1, -2]), np.array([-1, -1])]
+    assert sum(len(l) for l, _ in dedup._Rows(columns, 0.7).pairs()) == 1
+
+
 def test_resolution_equals_the_sequence(spark):
     random.seed(6)
     for size, n in ((6, 12), (30, 60), (12, 50)):

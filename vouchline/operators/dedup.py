@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vouchline.functions.text import SPACE, bigrams, jaccard, trimmed, unigrams
+from vouchline.functions.text import SPACE, bigrams, trimmed, unigrams
 from vouchline.operators.skew import hot_keys, salted_join
 from vouchline.shared import Staging
 
@@ -21,6 +23,16 @@ UNSURE = "near_duplicate_uncertain"
 FEW = 500_000
 #: Guards the prefix lengths against the last bit of a product of doubles.
 EPSILON = 1e-9
+#: Buckets of member counts, a byte each: so many at least and at most, whatever the data; counts in steps of a power of two.
+LEAST_BUCKETS, MOST_BUCKETS, STEPS = 1 << 20, 1 << 25, 4
+#: Sets of a member that one tile holds: it bounds a worker's memory.
+TILE = 1 << 17
+#: Blocks up to SHORT rows are compared row after row; longer ones SLAB rows at a time with WIDE others.
+SHORT, SLAB, WIDE = 256, 64, 4096
+#: Rows that a worker gathers before it compares, and pairs handed on at once.
+HELD, HANDED = 200_000, 100_000
+#: What a row of a block holds.
+ROW = ["block", "side", "n", "at", "sid", "k0", "k1"]
 
 
 def first_valid(events: DataFrame) -> DataFrame:
@@ -46,60 +58,227 @@ def occurrences(items: DataFrame) -> DataFrame:
 
 
 def token_sets(records: DataFrame, folded_question: Column) -> DataFrame:
-    """records(id) -> (id, uni, bi): distinct words and distinct adjacent pairs of the folded question."""
+    """records(id) -> (id, uni, bi, words): distinct words and distinct adjacent pairs of the folded question, and its words
+    in their order as one text."""
     words = unigrams(folded_question)
-    return records.select("id", words.alias("w")).select("id", F.array_distinct("w").alias("uni"), F.array_distinct(bigrams(F.col("w"))).alias("bi"))
+    return records.select("id", words.alias("w")).select("id", F.array_distinct("w").alias("uni"), F.array_distinct(bigrams(F.col("w"))).alias("bi"), F.array_join("w", " ").alias("words"))
 
 
-def _sketch(part: int) -> Column:
-    """64 of 128 parities of the hashes in x: two sets differ in at least as many members as in parities."""
-    return F.expr(f"aggregate(x, 0L, (a, y) -> a ^ if((shiftrightunsigned(y.h, 6) & 1) = {part}, shiftleft(1L, cast(y.h & 63 as int)), 0L))")
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's hashes as uint64 and the length of each list."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _prefixes(sets: DataFrame, name: str, least: float, staging: Staging) -> DataFrame:
-    """(h, sid, n, at, k0, k1): of each set its rarest members, as many as a pair that reaches ``least`` must share one of,
-    as hashes and with their places, beside the set's size and sketch. Only hashes and numbers are shuffled."""
-    exploded = sets.select("sid", F.explode(F.transform(name, lambda x: F.xxhash64(x))).alias("h"))
-    frequency = staging.put(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    total = frequency.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = salted_join(exploded, frequency.select("h", F.col("n").alias("f")), "h", hot_keys(frequency, "h", total), F.col("sid"))
-    ranked = counted.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x")).withColumn("n", F.size("x"))
-    length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPSILON) + 1).cast("int")
-    kept = ranked.select("sid", "n", _sketch(0).alias("k0"), _sketch(1).alias("k1"), F.slice("x", F.lit(1), length).alias("x"))
-    out = staging.put(kept.select("sid", "n", "k0", "k1", F.posexplode("x").alias("at", "y")).select("y.h", "sid", "n", "at", "k0", "k1"))
-    staging.drop(frequency)
-    return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(*names: str) -> Column:
+    return F.transform(F.concat(*names), lambda x: F.xxhash64(x))
+
+
+def _classes(sets: DataFrame) -> np.ndarray:
+    """A byte a bucket of member hashes: 0 for at most one member in all sets, else how many in quarters of powers of two.
+
+    A bucket that several members share only makes all of them look more common, in every set alike.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.size("uni") + F.size("bi")), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (total // 4).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, counts = np.unique(_flat(batch.column(0))[0] & np.uint64(buckets - 1), return_counts=True)
+            for i in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000])], ["bucket", "n"])
+
+    counts = sets.select(_hashes("uni", "bi").alias("x")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1")
+    cells = counts.groupBy(F.expr("bucket >> 3").alias("at")).agg(F.expr(f"bit_or(shiftleft(least(255L, 1 + floor({STEPS} * log2(n))), cast(8 * (bucket & 7) as int)))").alias("bits")).toArrow()
+    out = np.zeros(buckets // 8, np.uint64)
+    out[cells["at"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def _prefixes(sets: DataFrame, name: str, least: float, classes: Broadcast) -> DataFrame:
+    """(block, side, n, at, sid, k0, k1): of each set its rarest members, as many as a pair that reaches ``least`` must share
+    one of, with their places, beside the set's size and the parities of its members; members of one set alone have no row.
+
+    A block is a member. One that many sets hold is split: its sets are dealt over tiles, and there is a block for every
+    two tiles (sides 0 and 1, which meet each other only) and for each tile (side 2, where all meet).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = classes.value
+        for batch in batches:
+            sids, (flat, sizes) = batch.column(0).to_numpy(), _flat(batch.column(1))
+            sids, sizes = sids[sizes > 0], sizes[sizes > 0]
+            if not len(sizes):
+                continue
+            row, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            spread = _mixed(flat)
+            k = [np.bitwise_xor.reduceat(np.where((spread >> np.uint64(6)) & np.uint64(1) == part, np.uint64(1) << (spread & np.uint64(63)), np.uint64(0)), starts).view(np.int64) for part in (0, 1)]
+            kind = table[flat & np.uint64(len(table) - 1)]
+            order = np.lexsort((flat, kind, row))
+            at = np.arange(len(row)) - starts[row]
+            kept = (at < (sizes - np.ceil(least * sizes - EPSILON) + 1)[row]) & (kind[order] > 0)
+            row, at, flat, kind = row[kept], at[kept], flat[order][kept], kind[order][kept]
+            tiles = np.ceil(2.0 ** (kind / STEPS) / TILE).astype(np.int64)
+            again = np.repeat(np.arange(len(row)), tiles)
+            other = (np.arange(len(again)) - np.repeat(np.cumsum(tiles) - tiles, tiles)).astype(np.uint64)
+            row, at, flat = row[again], at[again], flat[again]
+            own = _mixed(sids.view(np.uint64)[row]) % tiles[again].astype(np.uint64)
+            block = _mixed(flat + (np.minimum(own, other) << np.uint64(32)) + np.maximum(own, other)).view(np.int64)
+            side = np.where(own == other, 2, own > other).astype(np.int8)
+            columns = block, side, sizes[row].astype(np.int32), at.astype(np.int32), sids[row], k[0][row], k[1][row]
+            for i in range(0, len(row), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(column[i : i + 50_000]) for column in columns], ROW)
+
+    return sets.select("sid", _hashes(name).alias("x")).mapInArrow(run, "block bigint, side tinyint, n int, at int, sid bigint, k0 bigint, k1 bigint")
+
+
+class _Rows:
+    """Rows of whole blocks, in the order of (block, side, n, at), and what of them meets."""
+
+    def __init__(self, columns: list[np.ndarray], least: float) -> None:
+        self.block, self.side, self.n, self.at, _, k0, k1 = columns
+        self.k0, self.k1 = k0.view(np.uint64), k1.view(np.uint64)
+        self.least = least
+
+    def needed(self, total: np.ndarray) -> np.ndarray:
+        """How many members two sets of together ``total`` have in common at least."""
+        return np.ceil(self.least / (1 + self.least) * total - EPSILON).astype(np.int64)
+
+    def near(self, l: np.ndarray, r: np.ndarray, most: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """What of the pairs of rows differs in at most ``most`` parities: two sets differ in as many members at least."""
+        first = np.bitwise_count(self.k0[l] ^ self.k0[r])
+        kept = np.flatnonzero(first <= most)
+        l, r = l[kept], r[kept]
+        close = first[kept] + np.bitwise_count(self.k1[l] ^ self.k1[r]) <= (most[kept] if isinstance(most, np.ndarray) else most)
+        return l[close], r[close]
+
+    def short(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row against the next of its block, then against the one after, as long as any block is that long."""
+        at, lag = np.arange(len(rows)), 1
+        while True:
+            at = at[: np.searchsorted(at, len(rows) - lag)]
+            at = at[self.block[rows[at]] == self.block[rows[at + lag]]]
+            if not len(at):
+                return
+            l, r = rows[at], rows[at + lag]
+            total = self.n[l].astype(np.int64) + self.n[r]
+            needed = self.needed(total)
+            # At a pair's first common member, only that and what comes after it in both sets can be common.
+            meets = (np.minimum(self.n[l] - self.at[l], self.n[r] - self.at[r]) >= needed) & ((self.side[l] == 2) | (self.side[l] != self.side[r]))
+            yield self.near(l[meets], r[meets], (total - 2 * needed)[meets])
+            lag += 1
+
+    def long(self, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of one block by size: of every two sizes only the places from which a pair can still reach ``least``."""
+        side, n, at = self.side[begin:end], self.n[begin:end].astype(np.int64), self.at[begin:end]
+        starts = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (n[1:] != n[:-1])])
+        ends = np.r_[starts[1:], end - begin]
+        sizes, sides = n[starts], side[starts]
+        needed = self.needed(sizes[:, None] + sizes[None, :])
+        far = np.minimum(sizes[:, None] - needed, sizes[None, :] - needed) >= 0
+        ordered = np.arange(len(starts))[:, None] <= np.arange(len(starts))[None, :]
+        for i, j in np.argwhere(far & ordered & ((sides[:, None] == 2) | (sides[:, None] != sides[None, :]))).tolist():
+            x = starts[i] + np.searchsorted(at[starts[i] : ends[i]], sizes[i] - needed[i, j], "right")
+            y = starts[j] + np.searchsorted(at[starts[j] : ends[j]], sizes[j] - needed[i, j], "right")
+            most = int(sizes[i] + sizes[j] - 2 * needed[i, j])
+            for a in range(starts[i], x, SLAB):
+                a_end = min(a + SLAB, x)
+                for b in range(a if i == j else starts[j], y, WIDE):
+                    b_end = min(b + WIDE, y)
+                    l, r = np.nonzero(np.bitwise_count(self.k0[begin + a : begin + a_end, None] ^ self.k0[None, begin + b : begin + b_end]) <= most)
+                    l, r = l + begin + a, r + begin + b
+                    if i == j:
+                        l, r = l[l < r], r[l < r]
+                    yield self.near(l, r, most)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.r_[True, self.block[1:] != self.block[:-1]])
+        lengths = np.diff(np.r_[starts, len(self.block)])
+        yield from self.short(np.flatnonzero(np.repeat(lengths <= SHORT, lengths)))
+        for start, length in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+            yield from self.long(start, start + length)
 
 
 def _met(rows: DataFrame, least: float) -> DataFrame:
     """(a, b) of the sets that meet at a member and can still reach ``least`` from there and by their sketches."""
-    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    total = l("n") + r("n")
-    needed = F.ceil(F.lit(least / (1 + least)) * total - EPSILON)
-    # At a pair's first common member, only that and what comes after it in both sets can be common.
-    reach = F.least(l("n") - l("at"), r("n") - r("at")) >= needed
-    apart = F.bit_count(l("k0").bitwiseXOR(r("k0"))) + F.bit_count(l("k1").bitwiseXOR(r("k1")))
-    met = rows.alias("l").join(rows.alias("r"), l("h") == r("h")).filter((l("sid") < r("sid")) & reach & (apart <= total - 2 * needed))
-    return met.select(l("sid").alias("a"), r("sid").alias("b"))
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sids, kept, n = columns[4], [], 0
+        for l, r in _Rows(columns, least).pairs():
+            if len(l):
+                a, b = sids[l], sids[r]
+                kept.append((np.minimum(a, b), np.maximum(a, b)))
+                n += len(l)
+            if n >= HANDED:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*kept, strict=True)], ["a", "b"])
+                kept, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*kept, strict=True)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            held.append([column.to_numpy() for column in batch.columns])
+            n += batch.num_rows
+            if n < HELD or held[0][0][0] == held[-1][0][-1]:
+                continue
+            columns = [np.concatenate(parts) for parts in zip(*held, strict=True)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from found([column[:last] for column in columns])
+            held, n = [[column[last:] for column in columns]], n - last
+        if n:
+            yield from found([np.concatenate(parts) for parts in zip(*held, strict=True)])
+
+    return rows.repartition("block").sortWithinPartitions("block", "side", "n", "at").mapInArrow(run, "a bigint, b bigint")
+
+
+def _scored(pairs: DataFrame, least_uni: float, least_bi: float) -> DataFrame:
+    """pairs(id_a, id_b, words_a, words_b) -> (left, right, unigram, bigram) of those that reach either threshold."""
+
+    def share(x: set, y: set) -> float:
+        both = len(x & y)
+        return both / (len(x) + len(y) - both) if x or y else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id_a, id_b, words_a, words_b in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                x, y = words_a.split(" "), words_b.split(" ")
+                uni, bi = share(set(x), set(y)), share(set(zip(x, x[1:])), set(zip(y, y[1:])))  # noqa: B905
+                if uni >= least_uni or bi >= least_bi:
+                    out.append((min(id_a, id_b), max(id_a, id_b), uni, bi))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = pa.string(), pa.string(), pa.float64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], ["left", "right", "unigram", "bigram"])
+
+    return pairs.mapInArrow(run, "left string, right string, unigram double, bigram double")
 
 
 def near_pairs(sets: DataFrame, least_uni: float = 0.70, least_bi: float = 0.50) -> DataFrame:
-    """sets(id, uni, bi) -> (left, right, unigram, bigram) of all pairs that reach either threshold, left < right.
+    """sets(id, uni, bi, words) -> (left, right, unigram, bigram) of all pairs that reach either threshold, left < right.
 
     Exact by prefix filtering: with the members of a set in one order from the rarest, two sets of Jaccard t or more share
-    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words. What meets is made distinct as
-    pairs of numbers and scored from the sets. Rows of a member that many prefixes hold are one join key; adaptive
-    execution splits its partition where it is out of line.
+    one of the first n - ceil(t n) + 1 of each. Once for words and once for pairs of words. Only hashes and numbers are
+    shuffled, to the blocks of their members, where only sizes and places that can reach the threshold meet. What meets is
+    made distinct as pairs of numbers and scored from the sets.
     """
     staging = Staging(sets.sparkSession, "near")
     sets = staging.put(sets.withColumn("sid", F.monotonically_increasing_id()))
-    tried = [(_prefixes(sets, name, least, staging), least) for name, least in (("uni", least_uni), ("bi", least_bi))]
-    pairs = staging.put(_met(*tried[0]).unionByName(_met(*tried[1])).distinct())
-    staging.drop(*[rows for rows, _ in tried])
-    a, b = (sets.select(F.col("sid").alias(side), F.col("id").alias(f"id_{side}"), F.col("uni").alias(f"uni_{side}"), F.col("bi").alias(f"bi_{side}")) for side in "ab")
+    classes = sets.sparkSession.sparkContext.broadcast(_classes(sets))
+    met = [_met(_prefixes(sets, name, least, classes), least) for name, least in (("uni", least_uni), ("bi", least_bi))]
+    pairs = staging.put(reduce(DataFrame.unionByName, met).distinct())
+    classes.unpersist()
+    # The words are a third of the sets' size, and what is scored is shuffled twice.
+    a, b = (sets.select(F.col("sid").alias(side), F.col("id").alias(f"id_{side}"), F.col("words").alias(f"words_{side}")) for side in "ab")
     one = pairs.join(a, "a").join(b, "b")
-    left = one.select(F.least("id_a", "id_b").alias("left"), F.greatest("id_a", "id_b").alias("right"), jaccard(F.col("uni_a"), F.col("uni_b")).alias("unigram"), jaccard(F.col("bi_a"), F.col("bi_b")).alias("bigram"))
-    return left.filter((F.col("unigram") >= least_uni) | (F.col("bigram") >= least_bi))
+    return _scored(one.select("id_a", "id_b", "words_a", "words_b"), least_uni, least_bi)
 
 
 def recorded(duplicates: DataFrame) -> DataFrame:
